@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import p2_overlap, p5_splits, p7_conversations, p8_tokens, p9_packing
+from . import p2_overlap, p3_neighbors, p4_truncation, p5_splits, p7_conversations, p8_tokens, p9_packing
 from .common import table
 
 QUERIES = {
     "p2_found": lambda s, d: p2_overlap.overlap_pairs(table(s, d, "train_pairs")),
     "p2_report": lambda s, d: p2_overlap.overlap_report(table(s, d, "train_pairs")),
+    "p3_found": lambda s, d: p3_neighbors.close_pairs(table(s, d, "track_vectors")),
+    "p3_neighbors": lambda s, d: p3_neighbors.nearest(table(s, d, "track_vectors")),
+    "p4_found": lambda s, d: p4_truncation.truncated_values(table(s, d, "track_crawl")),
+    "p4_rates": lambda s, d: p4_truncation.truncation_rates(table(s, d, "track_crawl")),
+    "p4_spikes": lambda s, d: p4_truncation.spikes_of(table(s, d, "track_crawl")),
     "p5_assign": lambda s, d: p5_splits.assign_splits(table(s, d, "train_pairs"), table(s, d, "sessions")),
     "p5_report": lambda s, d: p5_splits.split_report(p5_splits.assign_splits(table(s, d, "train_pairs"), table(s, d, "sessions"))),
     "p7_found": lambda s, d: p7_conversations.dropped_sessions(table(s, d, "messages")),
