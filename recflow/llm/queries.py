@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import p2_overlap, p3_neighbors, p4_truncation, p5_splits, p7_conversations, p8_tokens, p9_packing
+from . import p2_overlap, p3_neighbors, p4_truncation, p5_splits, p6_pairs, p7_conversations, p8_tokens, p9_packing
 from .common import table
 
 QUERIES = {
@@ -15,6 +15,8 @@ QUERIES = {
     "p4_spikes": lambda s, d: p4_truncation.spikes_of(table(s, d, "track_crawl")),
     "p5_assign": lambda s, d: p5_splits.assign_splits(table(s, d, "train_pairs"), table(s, d, "sessions")),
     "p5_report": lambda s, d: p5_splits.split_report(p5_splits.assign_splits(table(s, d, "train_pairs"), table(s, d, "sessions"))),
+    "p6_found": lambda s, d: p6_pairs.first_defects(table(s, d, "messages")),
+    "p6_defects": lambda s, d: p6_pairs.defects(table(s, d, "messages")),
     "p7_found": lambda s, d: p7_conversations.dropped_sessions(table(s, d, "messages")),
     "p7_conversations": lambda s, d: p7_conversations.conversations(table(s, d, "messages")),
     "p8_ids": lambda s, d: p8_tokens.token_ids(table(s, d, "documents")),
