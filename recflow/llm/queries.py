@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import p2_overlap, p3_neighbors, p4_truncation, p5_splits, p6_pairs, p7_conversations, p8_tokens, p9_packing
+from . import p10_sentences, p2_overlap, p3_neighbors, p4_truncation, p5_splits, p6_pairs, p7_conversations, p8_tokens, p9_packing
 from .common import table
 
 QUERIES = {
@@ -22,4 +22,6 @@ QUERIES = {
     "p8_ids": lambda s, d: p8_tokens.token_ids(table(s, d, "documents")),
     "p9_containers": lambda s, d: p9_packing.fill_containers(table(s, d, "documents")),
     "p9_report": lambda s, d: p9_packing.fill_report(p9_packing.fill_containers(table(s, d, "documents"))),
+    "p10_found": lambda s, d: p10_sentences.sentences(table(s, d, "documents"), texts=False),
+    "p10_sentences": lambda s, d: p10_sentences.sentences(table(s, d, "documents")),
 }
