@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import p10_sentences, p2_overlap, p3_neighbors, p4_truncation, p5_splits, p6_pairs, p7_conversations, p8_tokens, p9_packing
+from . import p1_entities, p10_sentences, p2_overlap, p3_neighbors, p4_truncation, p5_splits, p6_pairs, p7_conversations, p8_tokens, p9_packing
 from .common import table
 
 QUERIES = {
+    "p1_found": lambda s, d: p1_entities.found(table(s, d, "source_records"), table(s, d, "tracks")),
+    "p1_matches": lambda s, d: p1_entities.matches(table(s, d, "source_records"), table(s, d, "tracks")),
+    "p1_one_to_one": lambda s, d: p1_entities.one_to_one(p1_entities.scored_pairs(table(s, d, "source_records"), table(s, d, "tracks"))),
     "p2_found": lambda s, d: p2_overlap.overlap_pairs(table(s, d, "train_pairs")),
     "p2_report": lambda s, d: p2_overlap.overlap_report(table(s, d, "train_pairs")),
     "p3_found": lambda s, d: p3_neighbors.close_pairs(table(s, d, "track_vectors")),
