@@ -68,6 +68,7 @@ _OF_WORD: dict[str, tuple] = {}
 for _language, _words in LANGUAGE_WORDS.items():
     for _word in _words.split():
         _OF_WORD[_word] = (*_OF_WORD.get(_word, ()), _language)
+_VOTES = {w: tuple((name, 1 / len(names)) for name in names) for w, names in _OF_WORD.items()}
 #: Scripts that tell a language by themselves, as regular expressions (fixed values).
 SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힯]")), ("zh", re.compile("[一-鿿]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("th", re.compile("[฀-๿]")), ("el", re.compile("[Ͱ-Ͽ]")), ("he", re.compile("[֐-׿]")))
 #: Titles that end with a full stop, and so do not end a sentence (fixed values).
@@ -77,6 +78,13 @@ COPY_SHARE = 0.8
 #: A word that is so many times more often the beginning of another is taken for a beginning.
 PART_TIMES = 20
 
+#: Pieces of which every refusal has one, to look at few answers closely (fixed values).
+_REFUSAL_SIGNS = ("n't", "n’t", " not ", "cannot", "unable", "declin", "recommendation from", "no can do", "out on this", "leave it there", "refuse", "no song", "nicht", "kein", "ne peux", "préfère", "impossible", "interdis", "aucun", "no puedo", "prefiero", "posible", "permiten", "ninguna", "できません", "お断り", "かねます", "控え", "規則", "ルール")
+_UNSPACED = re.compile("[぀-ヿ一-鿿฀-๿]")
+_OTHER_SCRIPT = re.compile("[Ͱ-῿぀-鿿가-힯]")
+_NAME_LINKS = frozenset("of in the or and until vs vs. before x feat. me no".split())
+_AROUND = ".,;:!?…\"'“”«»()[]<>-–—¡¿。、！？"
+_STOPS = frozenset(".!?。！？।؟")
 _WORD = re.compile("[぀-ヿ一-鿿฀-๿]|\\w+(?:['’]\\w+)*")
 _ENDING_WORD = re.compile("[぀-ヿ一-鿿฀-๿]|\\w+(?:['’]\\w+)*|[—–]")
 _UNIT = re.compile(r"(?<=[.!?…])\s+(?![a-zà-ÿ—–&])|(?<=[。！？])|[\r\n]+")
@@ -109,6 +117,9 @@ def is_empty_answer(text: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
+    low = text.lower()
+    if not any(sign in low for sign in _REFUSAL_SIGNS):
+        return False
     text = text.replace("’", "'")
     if not REFUSALS.search(text):
         return False
@@ -120,6 +131,11 @@ def is_refusal(text: str) -> bool:
 
 
 def is_copy(question: str, answer: str) -> bool:
+    if answer.isascii() or not _UNSPACED.search(answer):
+        # Words as they stand: where few are shared, few neighbours are.
+        words, known = answer.lower().split(), set(question.lower().split())
+        if 2 * sum(w in known for w in words) < len(words) and len(words) > 3:
+            return False
     q, a = _plain(question), _plain(answer)
     if len(a) < 2 or len(q) < 2:
         return bool(a) and a == q
@@ -131,23 +147,32 @@ def is_copy(question: str, answer: str) -> bool:
 
 
 def language(text: str) -> str | None:
-    text = _QUOTED.sub(" ", text)
-    letters = sum(c.isalpha() for c in text) or 1
-    latin = len(re.findall(r"[A-Za-zÀ-ÿ]", text))
-    if latin < letters:
+    if any(c in text for c in "\"“«「『"):
+        text = _QUOTED.sub(" ", text)
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        letters = sum(c.isalpha() for c in text) or 1
         for name, script in SCRIPTS:
             n = len(script.findall(text))
             if n and (n >= 0.2 * letters or n >= 8):
                 return name
-    text = _NAME.sub(" ", text)
-    votes: Counter = Counter()
-    for w in re.findall(r"[\w'’-]+", text.lower()):
-        for name in _OF_WORD.get(w, ()):
-            votes[name] += 1 / len(_OF_WORD[w])
-    best = votes.most_common(2)
-    if not best or (len(best) > 1 and best[0][1] < 1.5 * best[1][1]):
+    votes: dict[str, float] = {}
+    tokens = text.split()
+    last, before = len(tokens) - 1, "."
+    for i, token in enumerate(tokens):
+        if before[-1] in ".!?…:":
+            token = token.strip(_AROUND).lower()  # an opening word counts in spite of its capital; other capitals are names
+        got = _VOTES.get(token)
+        # Small words between two capitals belong to a name.
+        if got and not (token in _NAME_LINKS and 0 < i < last and before[0].isupper() and tokens[i + 1][0].isupper()):
+            for name, weight in got:
+                votes[name] = votes.get(name, 0) + weight
+        before = tokens[i]
+    if not votes:
+        return None
+    ranked = sorted(votes.values(), reverse=True)
+    if ranked[0] < 1 or (len(ranked) > 1 and ranked[0] < 1.5 * ranked[1]):
         return None
-    return best[0][0] if best[0][1] >= 1 else None
+    return max(votes, key=votes.get)
 
 
 def _units(text: str) -> list[list[str]]:
@@ -157,11 +182,14 @@ def _units(text: str) -> list[list[str]]:
 
 def ending(text: str) -> tuple[bool, list[str], bool]:
     """(the end is marked as one, words of the last unit, a quotation or bracket is open)."""
+    text = text.rstrip()
+    opened = text.count('"') % 2 == 1 or text.count("「") > text.count("」") or text.count("“") > text.count("”") or text.rfind("(") > text.rfind(")")
+    if text[-1:] in _STOPS and not text.endswith("..") and not opened and text[-2:-1].islower() and text.rsplit(None, 1)[-1][:-1].lower() not in ABBREVIATIONS:
+        return True, [], False
     text = _TAIL.sub("", text)
     units = _units(text)
     last = units[-1] if units else []
     marked = bool(_TERMINAL.search(text)) and not _DOTS.search(text) and not (text.endswith(".") and last and last[-1] in ABBREVIATIONS)
-    opened = text.count('"') % 2 == 1 or text.count("「") > text.count("」") or text.count("“") > text.count("”") or text.rfind("(") > text.rfind(")")
     return marked, last, opened
 
 
