@@ -324,7 +324,7 @@ def _split(frames, shared, texts: bool):
             ends += found
             if texts:
                 numbers += range(len(found))
-                starts = [0, *found[:-1]]
+                starts = [0, *found][: len(found)]
                 out += [text[a:b].strip() for a, b in zip(starts, found, strict=True)]
         if texts:
             yield pd.DataFrame({"doc_id": ids, "n": numbers, "end_char": ends, "sentence": out})

@@ -147,15 +147,31 @@ def plan_bundles(bundles: list[tuple[str, int, int]], shares=SHARES) -> dict[tup
         for k in splits:
             flow[k] -= counts[k] * size
         for _ in range(n - sum(counts)):
-            k = max(splits, key=lambda k: (flow[k] + SPLIT_COST * (left[k] - counts[k] * size), -k))
+            k = max(splits, key=lambda k: (flow[k], -k))
             counts[k] += 1
             flow[k] -= size
         for k in splits:
             plan[label, size][k] += counts[k]
             left[k] -= counts[k] * size
+    _even_out(plan, left)
     return plan
 
 
+def _even_out(plan: dict[tuple[str, int], list[int]], left: list[float]) -> None:
+    """Move single components from overfull to underfull splits while that brings both nearer to their quotas."""
+    sizes = sorted(plan, key=lambda b: (-b[1], b[0]))
+    while True:
+        over, under = min(range(len(left)), key=lambda k: left[k]), max(range(len(left)), key=lambda k: left[k])
+        gain = lambda size: abs(left[over]) + abs(left[under]) - abs(left[over] + size) - abs(left[under] - size)
+        best = max((b for b in sizes if plan[b][over]), key=lambda b: gain(b[1]), default=None)
+        if best is None or gain(best[1]) <= 1e-9:
+            return
+        plan[best][over] -= 1
+        plan[best][under] += 1
+        left[over] += best[1]
+        left[under] -= best[1]
+
+
 def assign_splits(records: DataFrame, sessions: DataFrame, shares=SHARES, label: str = "source") -> DataFrame:
     """``pair_id, session_id, turn_number, component, split`` of each row of ``records``."""
     tied = components(users_of_sessions(sessions))
