@@ -88,3 +88,9 @@ def bounded_rows(df: DataFrame, most: int) -> list:
     if len(rows) > most:
         raise ValueError(f"more than {most} rows where a small table is expected")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for costly work on rows of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df

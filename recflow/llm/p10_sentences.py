@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 LYRICS = ("lrclib", "genius")
 LEAST_SEEN, RARITY = 5, 20_000
@@ -291,7 +291,7 @@ def _count(frames):
 
 def corpus_tables(documents: DataFrame) -> Splitter:
     """The splitter with the tables of this corpus, counted over all its documents."""
-    rows = documents.where(F.col("text").isNotNull()).select("text", "source")
+    rows = spread(documents.where(F.col("text").isNotNull()).select("text", "source"))
     counts = materialize(rows.mapInPandas(_count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "sentence-counts")
     goes = counts.where("kind = 'goes'").select("key", F.col("n").alias("goes"))
     small = counts.where("kind = 'small'").select("key", F.col("n").alias("small"))
@@ -337,4 +337,4 @@ def sentences(documents: DataFrame, texts: bool = True) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(corpus_tables(documents))
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n int, end_char int, sentence string" if texts else f"doc_id {kind}, end_char int"
-    return documents.select("doc_id", "text", "source").where(F.col("text").isNotNull()).mapInPandas(lambda it: _split(it, shared, texts), schema)
+    return spread(documents.select("doc_id", "text", "source").where(F.col("text").isNotNull())).mapInPandas(lambda it: _split(it, shared, texts), schema)

@@ -138,7 +138,7 @@ def _place(batches, shared, probes: dict):
             score = x @ centers.T
             home = score.argmax(1).astype(np.int32)
             code = _nearest_code(x - centers[home], books)
-            most = min(probes.get(kind, probes[""]), len(centers))
+            most = min(max(probes.get(kind, probes[""]), int(probes.get("share", 0) * len(centers))), len(centers))
             near = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < len(centers) else np.broadcast_to(np.arange(len(centers)), score.shape)
             rows = []
             block = (v.view(np.uint64) % np.uint64(1 << 20)).astype(np.int64)
@@ -255,7 +255,7 @@ def class_neighbors(rows: DataFrame, members: DataFrame, probes: dict, shortlist
     return exact.unionByName(exact.select("vector_type", F.col("c").alias("q"), F.col("q").alias("c"), "cos"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, probes: dict | None = None, shortlist: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, probes: dict | None = None, shortlist: int = 128) -> DataFrame:
     """``vector_type, track_id, neighbor_id, cos, rank``: the k nearest of each usable vector, with
     ``least`` those of at least this cosine."""
     rows = usable(vectors)
@@ -275,12 +275,13 @@ def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, probes:
     return ranked.where(F.col("rank") <= k).select("vector_type", "track_id", "neighbor_id", "cos", "rank")
 
 
-#: Cells that hold the code of a vector, by type; "" is for types not named.
-DEFAULT_PROBES = {"": 24}
+#: Cells that hold the code of a vector, by type; "" is for types not named, "share" a share of all cells.
+#: Pairs of high cosine share near cells; the nearest of vectors without close ones are spread over many.
+CLOSE_PROBES, DEFAULT_PROBES = {"": 24}, {"": 32, "share": 0.35}
 
 
 def close_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85) -> DataFrame:
     """``vector_type, track_id_a, track_id_b`` (smaller first): at least one is among the k nearest of
     the other, and their cosine is at least ``least``."""
-    near = nearest(vectors, k, least)
+    near = nearest(vectors, k, least, CLOSE_PROBES, 64)
     return near.select("vector_type", F.least("track_id", "neighbor_id").alias("track_id_a"), F.greatest("track_id", "neighbor_id").alias("track_id_b")).distinct()
