@@ -76,3 +76,23 @@ def duplicate_texts(crawl: DataFrame, column: str = "lyrics") -> DataFrame:
     """``digest, n_tracks``: equal texts of more than one track."""
     rows = crawl.where(~blank(F.col(column))).select(F.sha2(F.trim(column, F.lit(" \t\r\n")), 256).alias("digest"), "track_id")
     return rows.groupBy("digest").agg(F.countDistinct("track_id").alias("n_tracks")).where("n_tracks > 1")
+
+
+def match_flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
+    """``ident, flags``: how far the names and the length found with the lyrics are from those asked for."""
+    from ..functions.cues import name_similarity
+
+    m = F.col("lyrics_match")
+    rows = crawl.where(m.isNotNull()).select(ident, name_similarity(F.col("track_name"), m["track_name"]).alias("title"), name_similarity(F.col("artist_name"), m["artist_name"]).alias("artist"), _seconds(F.col("duration")).alias("want"), _seconds(m["duration"]).alias("have"), m["method"].alias("method"))
+    named = [
+        ("lyrics_title_mismatch", F.col("title") < 0.8),
+        ("lyrics_artist_mismatch", F.col("artist") < 0.85),
+        ("lyrics_duration_mismatch", F.abs(F.col("want") - F.col("have")) > 10),
+        ("lyrics_method_search_fuzzy", F.col("method").contains("fuzzy")),
+    ]
+    return rows.select(ident, F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in named)))).alias("flags"))
+
+
+def _seconds(duration: Column) -> Column:
+    d = duration.cast("double")
+    return F.when(d > 1000, d / 1000).when(d > 0, d)

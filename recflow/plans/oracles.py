@@ -179,4 +179,31 @@ ORACLES = {
         UNION ALL SELECT 'blank_id', count(*) FILTER (WHERE len(list_filter(ids, lambda x: trim(x) = '')) > 0) FROM p
         UNION ALL SELECT 'unknown_track', count(DISTINCT pair_id) FROM fr WHERE rank < 20 AND track_id NOT IN (SELECT track_id FROM tracks WHERE track_id IS NOT NULL)""",
     "round_robin": "SELECT pair_id, coalesce(specificity, '') AS stratum, CAST(row_number() OVER (PARTITION BY coalesce(specificity, '') ORDER BY pair_id) AS INT) AS turn FROM train_pairs",
+    "era_cues": """WITH n AS (SELECT pair_id, list_transform(regexp_extract_all(lower(coalesce(query, '')), '\\b((?:19|20)?\\d0s)\\b', 1), lambda x: CASE WHEN length(x) = 5 THEN x WHEN CAST(x[1:2] AS INT) >= 30 THEN '19' || x ELSE '20' || x END)
+            || list_filter([CASE WHEN contains(lower(query), 'fifties') THEN '1950s' END, CASE WHEN contains(lower(query), 'sixties') THEN '1960s' END, CASE WHEN contains(lower(query), 'seventies') THEN '1970s' END,
+               CASE WHEN contains(lower(query), 'eighties') THEN '1980s' END, CASE WHEN contains(lower(query), 'nineties') THEN '1990s' END, CASE WHEN contains(lower(query), 'noughties') THEN '2000s' END], lambda x: x IS NOT NULL) AS e FROM train_pairs)
+        SELECT pair_id, coalesce(array_to_string(list_filter(e, lambda v, i: list_position(e, v) = i), '|'), '') AS eras FROM n""",
+    "cited_titles": f"""WITH {_MSG}, t AS (SELECT DISTINCT session_id, turn_number, content, msg_id, unnest(regexp_extract_all(content, '"([^"]+)"', 1)) AS title FROM m WHERE speaker = 'assistant' AND content IS NOT NULL)
+        SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n, count(DISTINCT title) AS spellings FROM t GROUP BY 1""",
+    "profile_keys": "SELECT " + " || '|' || ".join(f"coalesce(nullif(trim(user_profile.{f}), ''), 'unknown')" for f in ("age_group", "country_code", "gender", "preferred_language", "preferred_musical_culture")) + " AS key, count(*) AS n FROM sessions WHERE user_profile IS NOT NULL GROUP BY 1",
+    "overused_words": f"""WITH {_MSG}, w AS (SELECT DISTINCT session_id, turn_number, content, msg_id, unnest(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9]+')) AS word FROM m WHERE speaker = 'assistant' AND content IS NOT NULL)
+        SELECT word, count(*) AS n FROM w WHERE length(word) >= 4 GROUP BY 1 HAVING count(*) >= 20""",
+    "artist_overview": f"""WITH {_T}, y AS (SELECT {_FIRST.format('artist_name')} AS artist, CAST(year AS INT) AS year FROM c2),
+        g AS (SELECT artist, count(*) AS n_tracks, min(year) AS y0, max(year) AS y1, list_sort(list(year) FILTER (WHERE year IS NOT NULL)) AS ys FROM y GROUP BY 1)
+        SELECT artist, n_tracks, y0::DOUBLE AS first_year, y1::DOUBLE AS last_year, (ys[len(ys) // 2 + 1])::DOUBLE AS median_year FROM g""",
+    "goal_progress_tail": """WITH p AS (SELECT DISTINCT session_id, g.turn_number AS turn_number, g.assessment AS assessment FROM (SELECT session_id, unnest(goal_progress_assessments) AS g FROM sessions)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC, assessment DESC NULLS LAST) AS i FROM p) SELECT session_id, turn_number, assessment FROM r WHERE i <= 3 AND trim(assessment) <> ''""",
+    "query_groups": f"""SELECT trim(query) AS q, count(DISTINCT doc_text) AS n_docs, count(DISTINCT {_KEY}) AS n_sessions, min(pair_id) AS first_pair FROM train_pairs WHERE trim(query) <> '' AND trim(doc_text) <> '' GROUP BY 1 HAVING count(DISTINCT doc_text) > 1""",
+    "log_frequency": """WITH c AS (SELECT track_id, count(*) AS n FROM train_pairs WHERE split = 'train' AND track_id IS NOT NULL GROUP BY 1)
+        SELECT track_id, round(ln((n + 1)::DOUBLE / ((SELECT sum(n) FROM c) + (SELECT count(*) FROM c))), 9) AS log_q FROM c""",
+    "bucket_negatives": f"""WITH {_T}, a AS (SELECT track_id, 'p' || (pop // 10 * 10) || '-' || (pop // 10 * 10 + 9) AS key FROM c2), nn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_UNIT.format("'42|' || track_id")}, track_id) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM a WHERE key IS NOT NULL),
+        own AS (SELECT pair_id, p.track_id AS positive, key, n, CAST(floor({_UNIT.format("'42|' || pair_id")} * n) AS INT) AS st FROM train_pairs p JOIN nn ON nn.track_id = p.track_id WHERE split = 'train'),
+        w AS (SELECT *, unnest(range(least(n, 5))) AS step FROM own),
+        f AS (SELECT w.pair_id, nn.track_id, row_number() OVER (PARTITION BY w.pair_id ORDER BY step) AS slot FROM w JOIN nn ON nn.key = w.key AND nn.i = (w.st + w.step) % w.n WHERE nn.track_id <> w.positive)
+        SELECT pair_id, track_id, CAST(slot AS INT) AS slot FROM f WHERE slot <= 4""",
+    "composed_queries": f"""WITH {_TURNS}, h AS (SELECT *, list_sort(list_distinct(flatten(coalesce(list(tracks) OVER w, [])))) AS seen FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s AS (SELECT session_id, turn_number, query, seen FROM h WHERE query IS NOT NULL AND len(tracks) > 0), x AS (SELECT session_id, turn_number, unnest(seen) AS track_id, unnest(range(len(seen))) AS i FROM s),
+        {_T}, l AS (SELECT session_id, turn_number, list('title: ' || lower(coalesce({_FIRST.format('track_name')}, 'unknown')) || ', artist: ' || lower(coalesce({_FIRST.format('artist_name')}, 'unknown')) ORDER BY i) AS ls FROM x JOIN c2 USING (track_id) GROUP BY 1, 2),
+        f AS (SELECT s.session_id, s.turn_number, coalesce(ls, []) AS ls, array_to_string(coalesce(ls, []) || [lower(query)], chr(10)) AS txt FROM s LEFT JOIN l USING (session_id, turn_number))
+        SELECT session_id, turn_number, CAST(len(ls) AS INT) AS n_lines, substring(sha256(txt), 1, 16) AS text_hash, CAST(trunc(length(txt) / 3.5::DOUBLE) AS INT) + 1 AS tokens FROM f""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cues
 from ..functions import text as tx
 from ..operators import evaluation, features, history, postprocess, quality, ranking, retrieval, slicing, splits
 from ..sources.tables import catalog, table
@@ -215,6 +216,72 @@ def q_round_robin(s: Spark, d: str) -> DataFrame:
     return postprocess.round_robin(rows, "stratum", "pair_id").select("pair_id", "stratum", "turn")
 
 
+def q_era_cues(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "train_pairs", "pair_id", "query").select("pair_id", F.array_join(cues.eras(F.col("query")), "|").alias("eras"))
+
+
+def q_cited_titles(s: Spark, d: str) -> DataFrame:
+    m = slicing.distinct_messages(table(s, d, "messages")).where("speaker = 'assistant'")
+    titles = m.select(F.explode(cues.quoted_titles(F.col("content"))).alias("title"))
+    return titles.groupBy(cues.title_key(F.col("title")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("spellings"))
+
+
+def q_profile_keys(s: Spark, d: str) -> DataFrame:
+    p = table(s, d, "sessions", "user_profile").where("user_profile IS NOT NULL")
+    return p.groupBy(cues.profile_key(F.col("user_profile")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_overused_words(s: Spark, d: str) -> DataFrame:
+    m = slicing.distinct_messages(table(s, d, "messages")).where("speaker = 'assistant'")
+    w = m.select(F.explode(F.array_distinct(F.filter(tx.words(F.col("content")), lambda x: F.length(x) >= 4))).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+
+
+def q_artist_overview(s: Spark, d: str) -> DataFrame:
+    t = catalog(table(s, d, "tracks")).select(tx.first_filled(F.col("artist_name")).alias("artist"), tx.year(F.col("release_date")).cast("int").alias("year"))
+    g = t.groupBy("artist").agg(F.count(F.lit(1)).alias("n_tracks"), F.min("year").alias("y0"), F.max("year").alias("y1"), F.array_sort(F.collect_list("year")).alias("ys"))
+    # The upper median, not an interpolated one.
+    upper = F.get("ys", F.floor(F.size("ys") / 2).cast("int"))
+    return g.select("artist", "n_tracks", F.col("y0").cast("double").alias("first_year"), F.col("y1").cast("double").alias("last_year"), upper.cast("double").alias("median_year"))
+
+
+def q_goal_progress_tail(s: Spark, d: str) -> DataFrame:
+    p = table(s, d, "sessions", "session_id", "goal_progress_assessments").select("session_id", F.explode("goal_progress_assessments").alias("g")).select("session_id", "g.turn_number", "g.assessment").distinct()
+    last = Window.partitionBy("session_id").orderBy(F.desc("turn_number"), F.desc_nulls_last("assessment"))
+    return p.withColumn("i", F.row_number().over(last)).where("i <= 3 AND trim(assessment) <> ''").select("session_id", "turn_number", "assessment")
+
+
+def q_query_groups(s: Spark, d: str) -> DataFrame:
+    p = table(s, d, "train_pairs", "pair_id", "session_id", "query", "doc_text").withColumn("q", F.trim("query")).where("q <> '' AND trim(doc_text) <> ''")
+    return p.groupBy("q").agg(F.countDistinct("doc_text").alias("n_docs"), F.countDistinct(F.lower(F.regexp_replace("session_id", "-", ""))).alias("n_sessions"), F.min("pair_id").alias("first_pair")).where("n_docs > 1")
+
+
+def q_log_frequency(s: Spark, d: str) -> DataFrame:
+    c = table(s, d, "train_pairs", "split", "track_id").where("split = 'train' AND track_id IS NOT NULL").groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    totals = c.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("ids"))
+    return c.crossJoin(F.broadcast(totals)).select("track_id", F.round(F.log((F.col("n") + 1) / (F.col("all") + F.col("ids"))), 9).alias("log_q"))
+
+
+def q_bucket_negatives(s: Spark, d: str) -> DataFrame:
+    pairs = table(s, d, "train_pairs", "pair_id", "split", "track_id").where("split = 'train'")
+    return features.same_key_negatives(pairs, catalog(table(s, d, "tracks", "track_id", "popularity")), tx.popularity_bucket(F.col("popularity")), 4)
+
+
+def q_match_flags(s: Spark, d: str) -> DataFrame:
+    return quality.match_flags(table(s, d, "track_crawl")).select("crawl_id", F.array_join("flags", "|").alias("flags"))
+
+
+def q_composed_queries(s: Spark, d: str) -> DataFrame:
+    """Request texts with a line for each earlier track, in order of play."""
+    t = slicing.turn_slices(table(s, d, "messages")).select("session_id", "turn_number", "query", F.posexplode_outer("seen").alias("i", "track_id"))
+    c = catalog(table(s, d, "tracks"))
+    line = F.concat(F.lit("title: "), F.lower(F.coalesce(tx.first_filled(F.col("track_name")), F.lit("unknown"))), F.lit(", artist: "), F.lower(F.coalesce(tx.first_filled(F.col("artist_name")), F.lit("unknown"))))
+    lines = t.join(c.select("track_id", line.alias("line")), "track_id", "left")
+    g = lines.groupBy("session_id", "turn_number").agg(F.min("query").alias("query"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("i", "line")))).alias("ls"))
+    text = F.concat_ws("\n", F.transform("ls", lambda x: x["line"]), F.lower("query"))
+    return g.select("session_id", "turn_number", F.size("ls").alias("n_lines"), tx.hash16(text).alias("text_hash"), cues.token_estimate(text).alias("tokens"))
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 QUERIES["rrf_fusion"] = lambda s, d: _fused(s, d, ranking.rrf)
 QUERIES["rbc_fusion"] = lambda s, d: _fused(s, d, ranking.rbc)

@@ -113,4 +113,4 @@ def test_queries_have_oracles_or_are_known_without():
     from recflow.plans.queries import ORACLES, QUERIES
 
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) <= {"diversified"}
+    assert set(QUERIES) - set(ORACLES) <= {"diversified", "match_flags"}
