@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import QUERY
+from .ranking import numbered as place
 
 
 def pool_features(fused: DataFrame, rankings: DataFrame, pools: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -93,8 +94,9 @@ def same_key_negatives(pairs: DataFrame, catalog: DataFrame, key: Column, k: int
     """
     numbered = catalog.select("track_id", key.alias("key")).where(F.col("key").isNotNull())
     sizes = numbered.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("key").orderBy(unit_hash(F.lit(seed), F.col("track_id")), "track_id")
-    numbered = numbered.withColumn("i", F.row_number().over(order) - 1)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "track_id"))
+    order = [unit_hash(F.lit(seed), F.col("track_id")), F.col("track_id")]
+    numbered = place(numbered, ["key"], F.substring(digest, 1, 3), order, "i").withColumn("i", F.col("i") - 1)
     own = pairs.select("pair_id", F.col("track_id").alias("positive")).join(numbered.select(F.col("track_id").alias("positive"), "key"), "positive").join(sizes, "key")
     start = F.floor(unit_hash(F.lit(seed), F.col("pair_id").cast("string")) * F.col("n")).cast("int")
     wanted = own.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(k)).cast("int")))).withColumn("i", F.pmod(start + F.col("step"), F.col("n")).cast("int"))

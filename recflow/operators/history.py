@@ -46,6 +46,12 @@ def prior_sessions(sessions: DataFrame, same_day: bool = False) -> DataFrame:
 
 def last_before(events: DataFrame, what: str, of: str) -> DataFrame:
     """``event_id, user_id, ts, prior_ts``: for each event of type ``what``, the time of the user's last ``of`` event before it."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("event_type") == of, F.col("ts")), ignorenulls=True).over(order)
-    return events.where(F.col("event_type").isin(what, of)).withColumn("prior_ts", prior).where(F.col("event_type") == what).select("event_id", "user_id", "ts", "prior_ts")
+    rows = events.where(F.col("event_type").isin(what, of)).withColumn("day", F.date_trunc("day", "ts"))
+    hit = F.when(F.col("event_type") == of, F.col("ts"))
+    # Days are carried over in one small table, so a user's events are only ordered within a day.
+    days = rows.groupBy("user_id", "day").agg(F.max(hit).alias("latest"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("user_id", "day", F.max("latest").over(before).alias("carried"))
+    within = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("own", F.max(hit).over(within)).where(F.col("event_type") == what).join(days, ["user_id", "day"])
+    return found.select("event_id", "user_id", "ts", F.coalesce("own", "carried").alias("prior_ts"))

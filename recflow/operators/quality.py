@@ -34,7 +34,8 @@ def flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
     text, cap, tempo = F.col("lyrics"), F.col("caption"), F.trim("tempo")
     has, has_cap = ~blank(text), ~blank(cap)
     bpm = tempo.try_cast("double")
-    rows = crawl.join(line_flags(crawl.select(ident, "lyrics"), ident), ident, "left")
+    needed = crawl.select(ident, "lyrics", "caption", "chord", "tempo", "music_key", "mbid")
+    rows = needed.join(line_flags(needed, ident), ident, "left")
     named = [
         ("lyrics_empty", ~has),
         ("lyrics_too_short", has & (_length(text) < LYRICS_CHARS[0])),
