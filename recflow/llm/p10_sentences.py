@@ -286,7 +286,8 @@ def _count(frames):
                     counts["start", _shape(tokens[0]) + "\t" + _shape(tokens[1])] += 1
                 if len(tokens) > 2 and re.search(r"\w$", part) and not CASELESS.search(part[-1]):
                     counts["end", "\t".join(map(_shape, tokens[-3:]))] += 1
-        yield pd.DataFrame({"kind": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"kind": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
 
 
 def corpus_tables(documents: DataFrame) -> Splitter:
@@ -326,6 +327,8 @@ def _split(frames, shared, texts: bool):
                 numbers += range(len(found))
                 starts = [0, *found][: len(found)]
                 out += [text[a:b].strip() for a, b in zip(starts, found, strict=True)]
+        if not ends:
+            continue
         if texts:
             yield pd.DataFrame({"doc_id": ids, "n": numbers, "end_char": ends, "sentence": out})
         else:

@@ -216,7 +216,8 @@ def _beyond(frames, shared, size: int):
             for at in (*range(max(0, lo - before), lo), *range(hi, min(len(parts), hi + after))):
                 if int(np.bitwise_count(np.uint64((int(sig) ^ int(sigs[at])) & (2**64 - 1)))) <= 14:
                     out.append((record, tracks[at]))
-        yield pd.DataFrame(out, columns=["record", "track"])
+        if out:
+            yield pd.DataFrame(out, columns=["record", "track"])
 
 
 def neighbours(records: DataFrame, tracks: DataFrame, window: int = WINDOW) -> DataFrame:

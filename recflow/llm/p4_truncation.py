@@ -75,7 +75,8 @@ def _count_words(frames):
                 if n < len(units) - 1 or (TERMINAL.search(value) and not DOTS.search(value)):
                     sure[u[-1]] += 1
         words = list(ends.keys() | goes.keys())
-        yield pd.DataFrame({"word": words, "ends": [ends[w] for w in words], "goes": [goes[w] for w in words], "sure": [sure[w] for w in words]})
+        if words:
+            yield pd.DataFrame({"word": words, "ends": [ends[w] for w in words], "goes": [goes[w] for w in words], "sure": [sure[w] for w in words]})
 
 
 def _count_frames(frames, shared):
@@ -90,7 +91,8 @@ def _count_frames(frames, shared):
             for k in range(1, len(words)):
                 goes[" ".join(words[:k])] += n
         keys = list(ends.keys() | goes.keys())
-        yield pd.DataFrame({"frame": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"frame": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
 
 
 def _look_at_ends(frames, shared):
@@ -105,7 +107,8 @@ def _look_at_ends(frames, shared):
             ended = not dots and bool(TERMINAL.search(value))
             label = bool(LABEL.search(value)) and not open_label
             rows.append((crawl_id, field, source, len(value), len(value.encode("utf-8", "replace")), last[-1] if last else None, " ".join(_slots(last, shared.value)) if last else None, sign, open_label, ended, label, dots))
-        yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "n_chars", "n_bytes", "word", "frame", "sign", "open_label", "ended", "label", "dots"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "n_chars", "n_bytes", "word", "frame", "sign", "open_label", "ended", "label", "dots"])
 
 
 _LOOKS = "field_name string, source string, n_chars int, n_bytes int, word string, frame string, sign boolean, open_label boolean, ended boolean, label boolean, dots boolean"

@@ -240,7 +240,8 @@ def _count_ends(frames, shared):
             for k in range(1, len(words)):
                 goes["f " + " ".join(words[:k])] += n
         keys = list(ends.keys() | goes.keys())
-        yield pd.DataFrame({"key": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"key": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
 
 
 def _judge(frames, shared):
@@ -263,7 +264,8 @@ def _judge(frames, shared):
                 if not marked and last:
                     word, form = "w " + last[-1], "f " + " ".join(_slots(last, shared.value))
             rows.append((session, turn, found, marked, opened, word, form))
-        yield pd.DataFrame(rows, columns=["session_id", "turn_number", "found", "marked", "opened", "word", "form"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["session_id", "turn_number", "found", "marked", "opened", "word", "form"])
 
 
 def defects(messages: DataFrame) -> DataFrame:
