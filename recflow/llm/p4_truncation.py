@@ -2,8 +2,11 @@
 
 1. Per source and field, histograms of the length in characters and in bytes show spikes: a
    length held by many times more values than its neighbourhood.  A spike marks a field limit.
-2. A value that ends at a spike without terminal punctuation is suspected; so is one that ends
-   with a sign that something is missing.
+2. A value that ends at a field limit without terminal punctuation is cut; so is one that ends
+   with a sign that something is missing.  A spike is a limit where at least half of its values are
+   different texts (one text many times is a placeholder).  A limit in characters shows in the
+   histogram of bytes too, by its ASCII values, and the other way round: of two spikes at one length
+   the one with fewer values decides nothing.
 3. Most cuts leave no spike (transfers break anywhere), so each value's last unit (line of lyrics,
    sentence of a caption) is also held against how units end in the whole corpus: its last
    word, how often that word ends a unit or goes on, whether it is only the beginning of a known
@@ -13,7 +16,8 @@
 Counts are combined per batch before they are shuffled; lookups are joins by word and by frame.
 
 Edge cases: null, blank and white-space values are no values; a repeated row is judged like any
-other; a value without words is complete unless it has a sign; a null source is a group of its own;
+other; a value without words is complete unless it has a sign; dots and a closed label count as an
+end at a limit; a null source is a group of its own;
 in a corpus too small to count (fewer than ``LEAST_SEEN`` sightings) only signs, open brackets and
 beginnings of known words count.
 """
@@ -24,7 +28,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import is_blank, materialize
@@ -98,7 +102,7 @@ def _count_frames(frames, shared):
 def _look_at_ends(frames, shared):
     for frame in frames:
         rows = []
-        for crawl_id, field, source, value in frame[["crawl_id", "field_name", "source", "value"]].itertuples(index=False):
+        for crawl_id, field, source, value, text in frame[["crawl_id", "field_name", "source", "value", "text"]].itertuples(index=False):
             sign = bool(SIGN.search(value))
             units = _units(field, value)
             last = units[-1] if units else []
@@ -106,12 +110,12 @@ def _look_at_ends(frames, shared):
             open_label = value.rfind("[") > value.rfind("]") or value.rfind("(") > value.rfind(")")
             ended = not dots and bool(TERMINAL.search(value))
             label = bool(LABEL.search(value)) and not open_label
-            rows.append((crawl_id, field, source, len(value), len(value.encode("utf-8", "replace")), last[-1] if last else None, " ".join(_slots(last, shared.value)) if last else None, sign, open_label, ended, label, dots))
+            rows.append((crawl_id, field, source, text, len(value), len(value.encode("utf-8", "replace")), last[-1] if last else None, " ".join(_slots(last, shared.value)) if last else None, sign, open_label, ended, label, dots))
         if rows:
-            yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "n_chars", "n_bytes", "word", "frame", "sign", "open_label", "ended", "label", "dots"])
+            yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "text", "n_chars", "n_bytes", "word", "frame", "sign", "open_label", "ended", "label", "dots"])
 
 
-_LOOKS = "field_name string, source string, n_chars int, n_bytes int, word string, frame string, sign boolean, open_label boolean, ended boolean, label boolean, dots boolean"
+_LOOKS = "field_name string, source string, text bigint, n_chars int, n_bytes int, word string, frame string, sign boolean, open_label boolean, ended boolean, label boolean, dots boolean"
 
 
 def length_spikes(looks: DataFrame) -> DataFrame:
@@ -127,8 +131,23 @@ def length_spikes(looks: DataFrame) -> DataFrame:
     return joined.withColumn("times", F.round(times, 2)).where((F.col("n") >= SPIKE_LEAST) & (times >= SPIKE_TIMES)).select("field_name", "source", "measure", "length", "n", "times")
 
 
+def field_limits(looks: DataFrame, spikes: DataFrame) -> DataFrame:
+    """``field_name, source, measure, length``: the spikes that are limits and no placeholders."""
+    each = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length"))))
+    at = looks.select("field_name", "source", "text", each.alias("x")).select("field_name", "source", "text", "x.*")
+    key = [F.col("v.source").eqNullSafe(F.col("s.source")), *(F.col(f"v.{c}") == F.col(f"s.{c}") for c in ("field_name", "measure", "length"))]
+    texts = at.alias("v").join(spikes.alias("s"), key).groupBy("s.field_name", "s.source", "s.measure", "s.length", "s.n").agg(F.countDistinct("v.text").alias("texts"))
+    most = F.max("n").over(Window.partitionBy("field_name", "source", "length"))
+    return texts.withColumn("most", most).where((F.col("texts") * 2 >= F.col("n")) & (F.col("n") == F.col("most"))).select("field_name", "source", "measure", "length")
+
+
+def _by_measure(spikes: DataFrame, name: str) -> DataFrame:
+    sets = (F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"{m}_{name}") for m in ("chars", "bytes"))
+    return spikes.groupBy("field_name", "source").agg(*sets)
+
+
 def judge(crawl: DataFrame) -> DataFrame:
-    """``crawl_id, field_name, source, n_chars, n_bytes, at_spike, truncated, reason`` of each value."""
+    """``crawl_id, field_name, source, n_chars, n_bytes, at_spike, at_limit, truncated, reason`` of each value."""
     spark = crawl.sparkSession
     rows = values(crawl)
     kind = dict(crawl.dtypes)["crawl_id"]
@@ -138,12 +157,9 @@ def judge(crawl: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(frozenset(frequent))
     frames = rows.select("field_name", "value").mapInPandas(lambda it: _count_frames(it, shared), "frame string, ends bigint, goes bigint")
     frames = frames.groupBy("frame").agg(F.sum("ends").alias("frame_ends"), F.sum("goes").alias("frame_goes"))
-    looks = materialize(rows.mapInPandas(lambda it: _look_at_ends(it, shared), f"crawl_id {kind}, {_LOOKS}"), "ends-looks")
-    spikes = length_spikes(looks)
-    at = spikes.groupBy("field_name", "source").agg(
-        F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("char_spikes"),
-        F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("byte_spikes"),
-    )
+    looks = materialize(rows.withColumn("text", F.xxhash64("value")).mapInPandas(lambda it: _look_at_ends(it, shared), f"crawl_id {kind}, {_LOOKS}"), "ends-looks")
+    spikes = materialize(length_spikes(looks), "ends-spikes")
+    at, limits = _by_measure(spikes, "spikes"), _by_measure(field_limits(looks, spikes), "limits")
     # Beginnings of known words: how often the beginning is a word itself, and how often it goes on.
     sure = words.where(F.col("sure") > 0)
     begins = (
@@ -151,14 +167,16 @@ def judge(crawl: DataFrame) -> DataFrame:
         .groupBy(F.expr("substring(word, 1, k)").alias("word"))
         .agg(F.sum(F.when(F.col("k") == F.length("word"), F.col("sure")).otherwise(0)).alias("known"), F.sum(F.when(F.col("k") < F.length("word"), F.col("sure")).otherwise(0)).alias("longer"))
     )
-    key = [F.col("l.source").eqNullSafe(F.col("s.source")), F.col("l.field_name") == F.col("s.field_name")]
+    same = lambda of: [F.col("l.source").eqNullSafe(F.col(f"{of}.source")), F.col("l.field_name") == F.col(f"{of}.field_name")]
+    held = lambda name: F.coalesce(F.array_contains(f"chars_{name}", F.col("n_chars")), F.lit(False)) | F.coalesce(F.array_contains(f"bytes_{name}", F.col("n_bytes")), F.lit(False))
     j = (
         looks.join(words.select("word", "ends", "goes"), "word", "left")
         .join(begins, "word", "left")
         .join(frames, "frame", "left")
         .alias("l")
-        .join(at.alias("s"), key, "left")
-        .select("l.*", F.coalesce(F.array_contains("char_spikes", F.col("n_chars")) | F.array_contains("byte_spikes", F.col("n_bytes")), F.lit(False)).alias("at_spike"))
+        .join(at.alias("s"), same("s"), "left")
+        .join(limits.alias("m"), same("m"), "left")
+        .select("l.*", held("spikes").alias("at_spike"), held("limits").alias("at_limit"))
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     part_of_word = (n("known") * BEGINNING_TIMES < n("longer")) & (n("longer") > 0)
@@ -174,8 +192,9 @@ def judge(crawl: DataFrame) -> DataFrame:
         .when(part_of_word, "part of a word")
         .when(rarely_ends, "word that goes on")
         .when(goes_on, "unit that goes on")
+        .when(F.col("at_limit") & ~F.col("dots"), "field limit")
     )
-    return j.select("crawl_id", "field_name", "source", "n_chars", "n_bytes", "at_spike", reason.isNotNull().alias("truncated"), reason.alias("reason"), "word", "frame", "ends", "goes", "known", "longer", "frame_ends", "frame_goes")
+    return j.select("crawl_id", "field_name", "source", "n_chars", "n_bytes", "at_spike", "at_limit", reason.isNotNull().alias("truncated"), reason.alias("reason"), "word", "frame", "ends", "goes", "known", "longer", "frame_ends", "frame_goes")
 
 
 def truncated_values(crawl: DataFrame) -> DataFrame:

@@ -158,6 +158,22 @@ def test_length_spikes(spark):
     assert {(r["measure"], r["length"]) for r in got} == {("chars", 500), ("bytes", 500)}
 
 
+def test_values_at_a_field_limit(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda size: " ".join(word() for _ in range(200))[:size]
+    lyrics = [line(120)[:-1] + "x" for _ in range(40)]  # cut at the limit
+    lyrics += [line(119) + "." for _ in range(10)] + [line(119) + "…" for _ in range(5)] + [line(113) + "[Outro]" for _ in range(5)]
+    lyrics += [line(60 + i)[:-1] + "x" for i in range(110) if i != 60]  # of any length
+    lyrics += ["not on file yet zzz"] * 30  # a placeholder
+    lyrics += [line(115) + "ééx"]  # as many bytes as the limit has characters
+    df = spark.createDataFrame([(i, v, None, {"lyrics": "a"}) for i, v in enumerate(lyrics)], "crawl_id bigint, lyrics string, caption string, sources map<string,string>")
+    got = {r["crawl_id"]: r for r in p4_truncation.judge(df).collect()}
+    assert {k for k, r in got.items() if r["truncated"]} == set(range(40))
+    assert {r["n_chars"] for r in got.values() if r["at_spike"]} >= {19, 120}
+    assert {k for k, r in got.items() if r["at_limit"]} == set(range(60))
+
+
 @pytest.mark.parametrize("users", [5, 60])
 def test_splits_keep_components_together(spark, users):
     rng = random.Random(users)
