@@ -5,15 +5,17 @@
 2. In a paragraph every mark that may end a sentence is a candidate.  Marks within quotations and brackets
    are none; marks of scripts without case or blanks (。！？।॥) always end one, a full stop before a
    small letter, after an initial or inside a number never does.
-3. What stays open is settled within the document first: a word after an abbreviation starts a sentence if
-   the document also writes it in small letters, and is a name if it only has a capital.  Where the
-   document says nothing, counts over the corpus do: words that are written small, abbreviations (words
+3. What stays open is settled within the document first: a word is an abbreviation if the document goes on
+   in small letters after its full stop and never writes it without one; a word after an abbreviation
+   starts a sentence if the document also writes it in small letters, and is a name if it has a capital
+   inside a sentence.  Where the document says nothing, counts over the corpus do: words that are written
+   small, abbreviations (words
    whose full stop is mostly followed by a small letter), openings of paragraphs (for sentences that start
    small) and endings of paragraphs without a mark (for sentences that lack one).
 
-The corpus tables keep entries whose count is at least ``LEAST_SEEN`` and one in ``RARITY`` paragraphs, so each
-has at most some RARITY times the words of a paragraph of entries, whatever the size of the corpus; they are
-counted over all documents.
+Corpus entries count from ``LEAST_SEEN`` sightings on, whatever the size of the corpus.  Those seen in one of
+``RARITY`` paragraphs are sent to all tasks: at most some RARITY times the words of a paragraph.  The rarer ones
+are joined to the documents that hold them; a filter of at most 32 MB keeps other words out of that join.
 
 Edge cases: null, empty and blank texts have no sentences; repeated documents are documents; an unclosed
 quotation ends with its paragraph; very long texts are read in one pass.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 
 LYRICS = ("lrclib", "genius")
-LEAST_SEEN, RARITY = 5, 20_000
+LEAST_SEEN, RARITY, GOES_SHARE = 5, 20_000, 0.3
+#: Bits of the filter of rare entries, per entry and at most.
+FILTER_BITS, MOST_BITS, CHUNK = 16, 1 << 28, 1 << 16
 
 #: Abbreviations that stand before a name, so that a capital says nothing (fixed values).
 TITLES = frozenset("dr mr mrs ms prof st sr sra srta m mm mme mlle hr hrn fr rev gen col capt lt sgt jr mt no nr vol p pp s ca approx cf vgl vs feat ft e.g i.e z.b u.a d.h bzw art fig n° डॉ श्री ดร د أ г ул им проф env av núm num pág".split())
@@ -54,10 +58,16 @@ EMOJI_RUN = re.compile(f"[{EMOJI}]+")
 OPEN_CLOSE = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "《": "》", "【": "】", "‹": "›"}
 PAIRED = re.compile("[“”„«»「」『』()\\[\\]（）《》【】‹›\"]")
 TOKEN_BEFORE = re.compile(r"[^\s\"“”«»「」()\[\]（）《》]*$")
+AROUND = "-–—'’,;:@"
 NEXT_WORD = re.compile(r"\s*[\"“«「('‘¡¿\[—–-]*\s*([^\W_]+(?:['’][^\W_]+)*)?")
 WORD = re.compile(r"[^\s]+")
 CASELESS = re.compile("[぀-ヿ㐀-鿿가-힯฀-๿ऀ-ॿ؀-ۿ֐-׿]")
 REPEATS = re.compile(r"(\w)\1{2,}")
+#: A short word with a full stop and what follows; a word without a full stop; a capitalised word inside a sentence.
+STOP = re.compile(r"(?<![^\W_])([^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_])){0,7})\.\s+(\S)")
+BARE = re.compile(r"(?<![^\W_])(?<!\.)[^\W\d_]{1,8}(?=[\s,;:!?)])")
+INSIDE = re.compile(r"(?<=[^\W_][ ,;])\s?(?=[^\W\d_a-z])([^\W\d_]{2,})")
+NAMED = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
 def _shape(token: str) -> str:
@@ -65,6 +75,11 @@ def _shape(token: str) -> str:
     return re.sub(r"\d+", "#", REPEATS.sub(r"\1", token.lower())).strip(".,;:!?…\"”“'’()")
 
 
+def _before(text: str, at: int) -> str:
+    """The token that ends at a mark."""
+    return TOKEN_BEFORE.search(text[max(0, at - 24) : at]).group()
+
+
 def paragraphs(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is a list line) of the blocks of a text; a block holds no blank line."""
     out, start, last, in_list = [], None, 0, False
@@ -120,12 +135,46 @@ def _depths(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([e[0] for e in events]), np.cumsum([e[1] for e in events])
 
 
+class _Both:
+    """A set of all tasks and the rare entries of one document."""
+
+    def __init__(self, common, own):
+        self.common, self.own = common, own
+
+    def __contains__(self, key) -> bool:
+        return key in self.common or key in self.own
+
+    def __bool__(self) -> bool:
+        return bool(self.common or self.own)
+
+
+class Evidence:
+    """What a document says about its words: written small, abbreviations, names."""
+
+    def __init__(self, text: str, opens=lambda rest: False):
+        self.small = frozenset(w for w in re.findall(r"[^\W\d_]+", text) if w.islower())
+        self.names = frozenset(w.lower() for w in INSIDE.findall(text))
+        goes, stops = Counter(), Counter()
+        for m in STOP.finditer(text):
+            word = m.group(1).lower()
+            stops[word] += 1
+            if m.group(2) in ",;" or m.group(2).islower() and not opens(text[m.start(2) :]):
+                goes[word] += 1
+        bare = frozenset(w.lower() for w in BARE.findall(text)) if goes else ()
+        self.short = frozenset(w for w, n in goes.items() if n >= GOES_SHARE * stops[w] and w not in bare)
+
+
 class Splitter:
     """Ends of the sentences of a text, given the corpus tables."""
 
     def __init__(self, small: frozenset = frozenset(), short: frozenset = frozenset(), starts: frozenset = frozenset(), ends: frozenset = frozenset()):
         self.small, self.short, self.starts, self.ends = small, short, starts, ends
 
+    def with_rare(self, keys) -> Splitter:
+        """This splitter with the rare entries (kind, tab, key) of one document."""
+        by = _by_kind(k.split("\t", 1) for k in keys)
+        return Splitter(*(_Both(a, b) for a, b in zip((self.small, self.short, self.starts, self.ends), by, strict=True)))
+
     def ends_of(self, text: str, source: str | None) -> list[int]:
         if source in LYRICS:
             out, at = [], 0
@@ -136,7 +185,7 @@ class Splitter:
                     out.append(at + len(line.rstrip()))
                 at = m.end() if m else end
             return out
-        own = frozenset(w for w in re.findall(r"[^\W\d_]+", text) if w.islower())
+        own = Evidence(text, self._opens)
         out = []
         for a, b, listed in paragraphs(text):
             part = text[a:b]
@@ -151,7 +200,7 @@ class Splitter:
                     seen = e
         return out
 
-    def _paragraph(self, text: str, own: frozenset) -> list[int]:
+    def _paragraph(self, text: str, own: Evidence) -> list[int]:
         places, depth = _depths(text)
 
         def inside(at: int) -> bool:
@@ -194,7 +243,7 @@ class Splitter:
                 out.add(tokens[i][1])
         return out
 
-    def _ends_here(self, text: str, m: re.Match, end: int, closing: str, own: frozenset, quoted: bool) -> bool:
+    def _ends_here(self, text: str, m: re.Match, end: int, closing: str, own: Evidence, quoted: bool) -> bool:
         mark, rest = m.group(), text[end:]
         if not rest.strip():
             return True
@@ -208,8 +257,8 @@ class Splitter:
             return not quoted
         if emoji:
             return True
-        before = TOKEN_BEFORE.search(text[max(0, m.start() - 24) : m.start()]).group()
-        low = before.lower().strip("-–—'’,;:@")
+        before = _before(text, m.start())
+        low = before.lower().strip(AROUND)
         if quoted and caseless:
             return False
         only_dots = set(mark) <= {"."} and len(mark) == 1
@@ -226,10 +275,10 @@ class Splitter:
             return False
         if caseless:
             if only_dots:
-                return not (len(low) == 1 and not low.isdigit() or low in TITLES or low in self.short)
+                return not (len(low) == 1 and not low.isdigit() or low in TITLES or low in own.short or low in self.short)
             return True
         if word[:1].islower():
-            if only_dots and (low in TITLES or low in ABBREVIATIONS or len(low) == 1):
+            if only_dots and (low in TITLES or low in ABBREVIATIONS or low in own.short or len(low) == 1):
                 return False
             return self._opens(rest)
         if not only_dots:
@@ -237,18 +286,18 @@ class Splitter:
         if not word:
             return bool(rest.strip())
         if word[0].isdigit():
-            return not (low in TITLES or low in ABBREVIATIONS or low in self.short or low.isdigit() and len(low) < 4 or len(low) == 1)
+            return not (low in TITLES or low in ABBREVIATIONS or low in own.short or low in self.short or low.isdigit() and len(low) < 4 or len(low) == 1)
         if len(low) == 1 and low.isalpha() and before[-1:].isupper() or low in TITLES:
             return False
         if low.isdigit() and len(low) <= 2 and not self._common(word, own):
             return False
-        if low in ABBREVIATIONS or low in self.short or "." in low and not any(c.isdigit() for c in low):
+        if low in ABBREVIATIONS or low in own.short or low in self.short or "." in low and not any(c.isdigit() for c in low):
             return self._common(word, own)
         return True
 
-    def _common(self, word: str, own: frozenset) -> bool:
+    def _common(self, word: str, own: Evidence) -> bool:
         low = word.lower()
-        return low in OPENERS or low in own or low in self.small
+        return low in OPENERS or low in own.small or low not in own.names and low in self.small
 
     def _opens(self, rest: str) -> bool:
         opening = self._opening(rest)
@@ -290,37 +339,117 @@ def _count(frames):
             yield pd.DataFrame({"kind": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
 
 
-def corpus_tables(documents: DataFrame) -> Splitter:
-    """The splitter with the tables of this corpus, counted over all its documents."""
+def _by_kind(pairs) -> tuple[frozenset, frozenset, frozenset, frozenset]:
+    """small, short, starts and ends of (kind, key) pairs."""
+    by: dict[str, set] = {"small": set(), "stops": set(), "start": set(), "first": set(), "end": set()}
+    for kind, key in pairs:
+        by[kind].add(key)
+    starts = frozenset([*(tuple(k.split("\t")) for k in by["start"]), *((k,) for k in by["first"])])
+    return frozenset(by["small"]), frozenset(by["stops"]), starts, frozenset(tuple(k.split("\t")) for k in by["end"])
+
+
+def corpus_tables(documents: DataFrame) -> tuple[Splitter, DataFrame | None]:
+    """The splitter with the frequent entries of this corpus, counted over all its documents, and the rare ones
+    (``entry``: kind, tab, key), if any."""
     rows = spread(documents.where(F.col("text").isNotNull()).select("text", "source"))
     counts = materialize(rows.mapInPandas(_count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "sentence-counts")
     goes = counts.where("kind = 'goes'").select("key", F.col("n").alias("goes"))
     small = counts.where("kind = 'small'").select("key", F.col("n").alias("small"))
     kept = counts.where((F.col("kind").isin("small", "start", "first", "end", "stops")) & (F.col("n") >= LEAST_SEEN))
-    kept = kept.join(goes, "key", "left").where((F.col("kind") != "stops") | (F.coalesce("goes", F.lit(0)) >= 0.3 * F.col("n")))
+    kept = kept.join(goes, "key", "left").where((F.col("kind") != "stops") | (F.coalesce("goes", F.lit(0)) >= GOES_SHARE * F.col("n")))
     # A small word alone is an opening where a good part of the documents that write it open with it.
     kept = kept.join(small, "key", "left").where((F.col("kind") != "first") | (F.col("n") >= 0.2 * F.coalesce("small", F.lit(0))))
     size = counts.where("kind = 'all'").select("n").collect()
-    kept = kept.where(F.col("n") * RARITY >= (size[0]["n"] if size else 0)).select("kind", "key").collect()
-    by: dict[str, set] = {"small": set(), "stops": set(), "start": set(), "first": set(), "end": set()}
-    for r in kept:
-        by[r["kind"]].add(r["key"])
-    return Splitter(
-        frozenset(by["small"]),
-        frozenset(by["stops"]),
-        frozenset([*(tuple(k.split("\t")) for k in by["start"]), *((k,) for k in by["first"])]),
-        frozenset(tuple(k.split("\t")) for k in by["end"]),
-    )
+    size = size[0]["n"] if size else 0
+    splitter = Splitter(*_by_kind((r["kind"], r["key"]) for r in kept.where(F.col("n") * RARITY >= size).select("kind", "key").collect()))
+    if size <= LEAST_SEEN * RARITY:
+        return splitter, None
+    return splitter, materialize(kept.where(F.col("n") * RARITY < size).select(F.concat_ws("\t", "kind", "key").alias("entry")), "sentence-rare")
+
+
+def _bits(entries, n_bits: int) -> np.ndarray:
+    """Three places in the filter of each entry."""
+    h = pd.util.hash_array(np.array(entries, dtype=object), categorize=False)
+    mask = np.uint64(n_bits - 1)
+    return np.stack([h & mask, (h >> np.uint64(18)) & mask, (h >> np.uint64(36)) & mask])
+
+
+def _filter(rare: DataFrame) -> np.ndarray:
+    """The filter of the rare entries, as bytes; built in pieces by the tasks."""
+    n_bits = max(CHUNK, min(MOST_BITS, 1 << (FILTER_BITS * rare.count()).bit_length()))
+
+    def places(frames):
+        for frame in frames:
+            at = np.unique(_bits(frame["entry"].to_numpy(), n_bits)).astype(np.int64)
+            yield pd.DataFrame({"chunk": at // CHUNK, "at": at % CHUNK})
+
+    def piece(frame):
+        bits = np.zeros(CHUNK, bool)
+        bits[frame["at"].to_numpy()] = True
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((n_bits // CHUNK, CHUNK // 8), np.uint8)
+    for r in rare.mapInPandas(places, "chunk bigint, at bigint").groupBy("chunk").applyInPandas(piece, "chunk bigint, bits binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _entries(text: str, source: str | None) -> set[str]:
+    """The entries a splitter may look up for a text."""
+    out: set[str] = set()
+    if source in LYRICS:
+        return out
+    out.update("small\t" + w.lower() for w in NAMED.findall(text) if not w[0].islower())
+    for a, b, listed in paragraphs(text):
+        if listed:
+            continue
+        part = text[a:b]
+        shapes = [_shape(m.group()) for m in WORD.finditer(part)]
+        out.update("end\t" + "\t".join(shapes[i - 2 : i + 1]) for i in range(2, len(shapes) - 1))
+        out.update("first\t" + w for w in shapes)
+        out.update(f"start\t{v}\t{w}" for v, w in zip(shapes, [*shapes[1:], ""], strict=True))
+        for m in MARK.finditer(part):
+            v, w = Splitter._opening(part[AFTER.match(part, m.end()).end() :])
+            out.update((f"first\t{v}", f"start\t{v}\t{w}"))
+            if m.group() == ".":
+                out.add("stops\t" + _before(part, m.start()).lower().strip(AROUND))
+    # Evidence reads on across paragraphs and lines.
+    for m in STOP.finditer(text):
+        v, w = Splitter._opening(text[m.start(2) :])
+        out.update((f"first\t{v}", f"start\t{v}\t{w}"))
+    return out
+
+
+def _look_up(frames, shared, n_bits: int):
+    """``document, entry``: entries of documents that pass the filter."""
+    bits = shared.value
+    for frame in frames:
+        for text, source, document in frame[["text", "source", "document"]].itertuples(index=False):
+            entries = list(_entries(text, source))
+            if entries:
+                at = _bits(entries, n_bits)
+                held = (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).all(axis=0)
+                if held.any():
+                    yield pd.DataFrame({"document": document, "entry": np.array(entries, dtype=object)[held]})
+
+
+def rare_entries(documents: DataFrame, rare: DataFrame) -> DataFrame:
+    """``document, rare``: the rare entries of each document that holds some."""
+    bits = _filter(rare)
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+    n_bits = len(bits) * 8
+    asked = spread(documents.dropDuplicates(["document"])).mapInPandas(lambda it: _look_up(it, shared, n_bits), "document bigint, entry string")
+    return asked.join(rare, "entry").groupBy("document").agg(F.collect_set("entry").alias("rare"))
 
 
 def _split(frames, shared, texts: bool):
     splitter = shared.value
     for frame in frames:
         ids, ends, numbers, out = [], [], [], []
-        for doc, text, source in frame[["doc_id", "text", "source"]].itertuples(index=False):
+        for doc, text, source, rare in frame[["doc_id", "text", "source", "rare"]].itertuples(index=False):
             if not text:
                 continue
-            found = splitter.ends_of(text, source)
+            found = (splitter if rare is None else splitter.with_rare(rare)).ends_of(text, source)
             ids += [doc] * len(found)
             ends += found
             if texts:
@@ -337,7 +466,14 @@ def _split(frames, shared, texts: bool):
 
 def sentences(documents: DataFrame, texts: bool = True) -> DataFrame:
     """``doc_id, n, end_char, sentence`` of each sentence, in order; without ``texts`` only doc_id and end_char."""
-    shared = documents.sparkSession.sparkContext.broadcast(corpus_tables(documents))
+    splitter, rare = corpus_tables(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(splitter)
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n int, end_char int, sentence string" if texts else f"doc_id {kind}, end_char int"
-    return spread(documents.select("doc_id", "text", "source").where(F.col("text").isNotNull())).mapInPandas(lambda it: _split(it, shared, texts), schema)
+    rows = documents.select("doc_id", "text", "source").where(F.col("text").isNotNull())
+    if rare is None:
+        rows = rows.withColumn("rare", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.withColumn("document", F.xxhash64("text", "source"))
+        rows = rows.join(materialize(rare_entries(rows.select("text", "source", "document"), rare), "sentence-lookups"), "document", "left").drop("document")
+    return spread(rows).mapInPandas(lambda it: _split(it, shared, texts), schema)

@@ -164,3 +164,28 @@ def test_sentences_of_a_corpus(spark):
         assert all(text[: r["end_char"]].endswith(r["sentence"]) for r in got.get(i, []))
     assert len(got[102]) == 8000 and 100 not in got and 101 not in got
     assert p10_sentences.sentences(df.limit(0)).count() == 0
+
+
+def test_documents_tell_their_own_abbreviations_and_names():
+    splitter = p10_sentences.Splitter(small=frozenset(["mango", "slept"]))
+    cases = [
+        ("Cut by the orch. of Lund. The orch. Lanbri led was small. They left.", ["Lund.", "was small.", "They left."]),
+        ("The band slept. and woke. We slept. Kapri slept on.", ["woke.", "We slept.", "slept on."]),
+        ("We met Mango there. Songs, demos etc. Mango kept them.", ["there.", "kept them."]),
+        ("Songs, demos etc. Mango kept them.", ["etc.", "kept them."]),
+    ]
+    for text, ends in cases:
+        found = splitter.ends_of(text, "press_review")
+        assert len(found) == len(ends), (text, [text[:e] for e in found])
+        assert all(text[:e].endswith(end) for e, end in zip(found, ends, strict=True))
+
+
+def test_rare_corpus_entries_count_at_any_size(spark, monkeypatch):
+    texts = ["Played by the orch. of Lund in May."] * 6 + ["they never came back to us"] * 6 + ["so it goes again tonight"] * 6
+    texts += ["The orch. Lanbri led it.", "Then they never came back to us so it goes on.", "One more. so it goes on."] + [f"Filler {i} is here." for i in range(60)]
+    df = spark.createDataFrame([(i, t, "press_review") for i, t in enumerate(texts)] + [(500, None, None), (501, "La la", "genius")], "doc_id bigint, text string, source string")
+    ends = lambda: sorted(tuple(r) for r in p10_sentences.sentences(df, texts=False).collect())
+    want = ends()
+    assert (18, len("The orch.")) not in want and len([e for e in want if e[0] == 20]) == 2 and len([e for e in want if e[0] == 19]) == 2
+    monkeypatch.setattr(p10_sentences, "RARITY", 1)
+    assert ends() == want
