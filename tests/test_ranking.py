@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recflow.operators import evaluation, features, postprocess, ranking
@@ -112,6 +113,14 @@ def test_diversify_keeps_the_head_and_spreads_the_rest(spark):
     assert b[:5] == pool[:5] and b != a and sorted(b) == b
 
 
+def test_diversify_counts_use_over_all_queries(spark):
+    rows = [(f"q{o:06d}", o, f"t{i}", i) for o in (0, 1, 19_999, 20_000, 40_000, 115_000) for i in range(10)]
+    df = spark.createDataFrame(rows, "query string, ord bigint, track_id string, rank int")
+    near = df.withColumn("ord", F.dense_rank().over(Window.orderBy("ord")).cast("bigint") - 1)
+    picks = lambda d: sorted((r["query"], r["rank"], r["track_id"]) for r in postprocess.diversify(d, protect=1, keep=4, window=9).collect())
+    assert picks(df) == picks(near)
+
+
 def test_violations(spark):
     rows = [("s", 1, [f"t{i}" for i in range(21)]), ("s", 2, ["t1", "t1"]), ("s", 3, ["zz", None]), ("s", 4, None)]
     catalog = spark.createDataFrame([(f"t{i}",) for i in range(30)], "track_id string")
