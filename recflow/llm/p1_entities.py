@@ -7,7 +7,9 @@
    record is compared with the ``WINDOW`` nearest tracks on either side in each order.  Rows equal in all
    parsed fields are one row here.  The sorts are range partitions; records near the border of a
    partition also meet the tracks beyond it, which are known from the partitions' first and last tracks
-   (at most 2 * WINDOW per partition).
+   (at most 2 * WINDOW per partition).  Ties are ordered by version and duration.  Records also meet
+   every track of the same title and first artist, however many there are, by an equality join; the
+   records of a hot block are dealt over several tasks.
 3. Weighted similarities of title, artist, album and duration give the confidence; a pair counts only if
    the versions agree and title and artist are each within a spelling error.
 4. Each record takes the track of highest confidence.  A track may have several records, so under
@@ -16,7 +18,7 @@
 
 Edge cases: records without a title never match; a missing artist, album or duration drops out of the
 weights (without artist the duration or the album must agree); repeated tracks are one track; ties go
-to the smaller track_id; an empty side gives no rows.
+to the nearer version, then to the smaller track_id; an empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import bounded_rows, materialize
 
 #: Tracks on either side of a record in each order.
 WINDOW = 6
+#: Records of one title and artist that a task joins with the tracks of that name.
+BLOCK_RECORDS = 2_000
 WEIGHTS = {"title": 0.45, "artist": 0.35, "album": 0.08, "duration": 0.12}
 #: Least confidence of a tie, spelling errors of a title or artist (as edits), and how far lengths
 #: may be apart (seconds, share) where nothing else is in doubt.
@@ -161,13 +165,15 @@ def _parse(names: pd.Series, artists: pd.Series, albums: pd.Series, durations: p
             f"6{re.sub('[aeiouy]', '', flat)} {first}",
             f"7{album} {title}" if album else f"7{title}",
         ]
+        length = "" if seconds is None else f"{round(seconds):06d}"
+        keys = [f"{k}\t{version}\t{length}" for k in keys] + [f"8{title}\t{length}\t{version}"]
         rows.append((title, version, every, first, album, seconds, _signature(title), keys))
     return pd.DataFrame(rows, columns=["title", "version", "artists", "artist", "album", "seconds", "sig", "keys"])
 
 
 #: What the orders sort by: title and artist; artist and title; title backwards; letters of the title;
-#: letters of the artist; longest words first; consonants; album and title.
-KEYS = 8
+#: letters of the artist; longest words first; consonants; album and title (each with version and duration behind it); title and duration.
+KEYS = 9
 
 
 def parsed(rows: DataFrame, ident: str) -> DataFrame:
@@ -237,19 +243,30 @@ def neighbours(records: DataFrame, tracks: DataFrame, window: int = WINDOW) -> D
     return found.where("kind = 'pair'").select("record", "track").unionByName(outside).distinct()
 
 
+def same_names(records: DataFrame, tracks: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
+    """``record, track``: all pairs of equal title and first artist.  Both: ident, title, artist."""
+    names = ["title", "artist"]
+    r = records.where(F.col("artist") != "").select(F.col("ident").alias("record"), *names)
+    parts = r.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    t = tracks.where(F.col("artist") != "").select(F.col("ident").alias("track"), *names).join(parts, names)
+    t = t.select("track", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    r = r.join(parts, names).select("record", *names, F.pmod(F.xxhash64("record"), F.col("parts")).cast("int").alias("part"))
+    return r.join(t, [*names, "part"]).select("record", "track")
+
+
 def _alike(a, b):
     size = F.greatest(F.length(a), F.length(b))
     return F.when(size == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / size)
 
 
 def scored_pairs(records: DataFrame, tracks: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``record_id, track_id, confidence`` of each pair that may be the same recording."""
+    """``record_id, track_id, confidence, version_edits`` of each pair that may be the same recording."""
     r_all = materialize(parsed(records, "record_id").withColumn("ident", F.xxhash64("title", "version", "artists", "artist", "album", "seconds")), "entity-records")
     t_all = materialize(parsed(tracks.where(F.col("track_id").isNotNull()), "track_id").withColumn("ident", F.xxhash64("track_id", "title", "version", "artists", "album", "seconds")), "entity-tracks")
     fields = ("title", "version", "artists", "artist", "album", "seconds")
     r_one = r_all.dropDuplicates(["ident"]).select("ident", "sig", "keys", *fields)
     t_one = t_all.dropDuplicates(["ident"]).select("ident", "track_id", "sig", "keys", *fields)
-    near = neighbours(r_one, t_one, window)
+    near = neighbours(r_one, t_one, window).unionByName(same_names(r_one, t_one)).distinct()
     r = r_one.select(F.col("ident").alias("record"), *(F.col(c).alias(f"r_{c}") for c in fields))
     t = t_one.select(F.col("ident").alias("track"), "track_id", *(F.col(c).alias(f"t_{c}") for c in fields))
     p = near.join(r, "record").join(t, "track")
@@ -261,7 +278,7 @@ def scored_pairs(records: DataFrame, tracks: DataFrame, window: int = WINDOW) ->
     gap = F.abs(c("r_seconds") - c("t_seconds"))
     close = gap <= F.greatest(F.lit(SECONDS), c("t_seconds") * SECONDS_SHARE)
     p = p.select(
-        "record", "track_id", "title_edits", same_version.alias("same_version"), close.alias("close"),
+        "record", "track_id", "title_edits", same_version.alias("same_version"), F.levenshtein("r_version", "t_version").alias("version_edits"), close.alias("close"),
         F.greatest(_alike(c("r_title"), c("t_title")), F.lit(0.0)).alias("title"),
         F.when((c("r_artists") != "") & (c("t_artists") != ""), artist).alias("artist"),
         artist_edits.alias("artist_edits"),
@@ -275,14 +292,14 @@ def scored_pairs(records: DataFrame, tracks: DataFrame, window: int = WINDOW) ->
     spelled = c("close").isNotNull() | (c("title_edits") + F.coalesce("artist_edits", F.lit(0)) <= MOST_EDITS)
     sure = c("same_version") & same_artist & same_length & spelled
     p = p.where(sure).withColumn("confidence", F.round(total / weight, 4)).where(c("confidence") >= LEAST)
-    best = p.groupBy("record", "track_id").agg(F.max("confidence").alias("confidence"))
-    return r_all.select("record_id", F.col("ident").alias("record")).join(best, "record").select("record_id", "track_id", "confidence")
+    best = p.groupBy("record", "track_id").agg(F.max("confidence").alias("confidence"), F.min(F.struct(-c("confidence"), "version_edits"))["version_edits"].alias("version_edits"))
+    return r_all.select("record_id", F.col("ident").alias("record")).join(best, "record").select("record_id", "track_id", "confidence", "version_edits")
 
 
 def matches(records: DataFrame, tracks: DataFrame) -> DataFrame:
     """``track_id, record_id, confidence``: the track of each record that has one."""
     pairs = scored_pairs(records, tracks)
-    order = Window.partitionBy("record_id").orderBy(F.desc("confidence"), "track_id")
+    order = Window.partitionBy("record_id").orderBy(F.desc("confidence"), "version_edits", "track_id")
     return pairs.withColumn("place", F.row_number().over(order)).where("place = 1").select("track_id", "record_id", "confidence")
 
 

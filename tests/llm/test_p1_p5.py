@@ -61,6 +61,18 @@ def test_window_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_entities_of_large_blocks(spark):
+    tracks = [(f"v{i:02d}", ["Cold Kingdom" + (f" (Live at Tarrow {i})" if i else "")], ["Papri Lanbri"], None, 200_000 + 9_000 * i) for i in range(40)]
+    tracks += [(f"w{i:02d}", ["Golden Ladder"], [f"{c}abri Delmo"], None, 100_000 + 10_000 * i) for i, c in enumerate(("fghjklmnpqrstvwxz" * 3)[:40])]
+    records = [(i, "x", t[1][0], "Papri Lanbri", None, None) for i, t in enumerate(tracks[:40])]
+    records += [(100 + i, "x", "Golden Ladder", "x" + t[2][0], None, t[4] / 1000) for i, t in enumerate(tracks[40:])]
+    tracks, records = spark.createDataFrame(tracks, TRACKS), spark.createDataFrame(records, RECORDS)
+    got = {r["record_id"]: r["track_id"] for r in p1_entities.found(records, tracks).collect()}
+    assert got == {i: f"v{i:02d}" for i in range(40)} | {100 + i: f"w{i:02d}" for i in range(40)}
+    one = spark.createDataFrame([(i, "a", "b") for i in range(7)] + [(9, "a", "")], "ident bigint, title string, artist string")
+    assert sorted(tuple(r) for r in p1_entities.same_names(one, one, 3).collect()) == sorted(itertools.product(range(7), range(7)))
+
+
 def test_auction_is_optimal(spark):
     rng = random.Random(5)
     worth = {(r, t): round(rng.uniform(0.8, 1), 2) for r in range(5) for t in range(4) if rng.random() < 0.7}
