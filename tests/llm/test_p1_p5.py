@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from recflow.llm import p1_entities, p2_overlap, p3_neighbors, p4_truncation, p5_splits
+from recflow.llm.common import dealt_join
 
 RECORDS = "record_id bigint, source string, track_name string, artist_name string, album_name string, duration double"
 TRACKS = "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, duration int"
@@ -83,14 +84,16 @@ def test_auction_is_optimal(spark):
     assert abs(sum(r["confidence"] for r in got) - best) <= 5e-3 + 1e-9
 
 
-def test_overlap_equals_brute_force(spark):
-    rng = random.Random(1)
-    words = [f"w{i}" for i in range(30)]
+@pytest.mark.parametrize("vocabulary", [30, 3])  # with few words, shingles repeat within a text
+def test_overlap_equals_brute_force(spark, vocabulary):
+    rng = random.Random(vocabulary)
+    words = [f"w{i}" for i in range(vocabulary)]
     rows = []
     for i in range(160):
         if rows and rng.random() < 0.6:
             base = rows[rng.randrange(len(rows))][3].split()
             for _ in range(rng.randrange(4)):
+                base = base or ["w1"]
                 at = rng.randrange(len(base))
                 base[at : at + 1] = rng.choice([[], [rng.choice(words)], [base[at], "new"]])
         else:
@@ -121,6 +124,23 @@ def test_overlap_equals_brute_force(spark):
     assert got == want
     report = p2_overlap.overlap_report(df).collect()
     assert sum(r["n_pairs"] for r in report) == len(want)
+    assert sum(r["n_overlapping"] for r in report) == len({i for p in want for i in p if i in {r[0] for r in rows if r[1] != "train"}})
+    assert sum(r["n_rows"] for r in report) == sum(r[1] != "train" for r in rows)
+
+
+def test_overlap_of_shifted_repeats(spark):
+    rows = [(1, "train", "x", "w0 w0 w1 w0 w0 w2 w0 w0 w0 w1", None, None), (2, "devset", "x", "w0 w0 w1 w0 w3 w0 w2 w0 w0 w0 w1", None, None)]
+    rows += [(3, "train", "x", " ".join(["no"] * 10), None, None), (4, "devset", "x", "no no no no yes no no no no no", None, None)]
+    df = spark.createDataFrame(rows, "pair_id bigint, split string, source string, query string, session_id string, turn_number int")
+    assert {tuple(r) for r in p2_overlap.overlap_pairs(df).collect()} == {(1, 2), (3, 4)}
+
+
+def test_dealt_join_equals_join(spark):
+    left = spark.createDataFrame([(i % 3 if i < 40 else i, i) for i in range(60)] + [(None, 99)], "k int, a int")
+    right = spark.createDataFrame([(0 if i < 30 else i, i) for i in range(50)] + [(None, 98)], "k int, b int")
+    want = sorted(tuple(r) for r in left.join(right, "k").collect())
+    assert sorted(tuple(r) for r in dealt_join(left, right, ["k"], 4).collect()) == want
+    assert dealt_join(left.limit(0), right, ["k"]).count() == 0
 
 
 def test_plain_sets_aside_marks_and_accents():
