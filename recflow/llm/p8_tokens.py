@@ -1,8 +1,10 @@
 """Token ids of every text of a corpus.
 
-Texts of up to ``SEGMENT_CHARS`` characters are encoded where they lie, without a
-shuffle.  Longer texts are cut into segments, the segments are spread over the cluster and
-encoded in parallel, and the encodings are joined in a tree (see ``tokenizer``).
+Every text of more than a segment (``tokenizer.SEGMENT_CHARS``) is encoded by tree concatenation: its
+segments are encoded apart and neighbours are joined by windows that grow until both sides agree.  Texts of
+up to ``SPREAD_CHARS`` characters go through the tree where they lie, without a shuffle; the parts of longer
+ones are spread over the cluster, go through the tree in parallel, and are joined by the same rule in groups
+of ``FAN_IN`` neighbours and then as a whole.
 
 Edge cases: null and empty texts give an empty list; repeated rows give repeated rows; strings
 that look like special tokens are ordinary text; lone surrogates cannot occur in a string column.
@@ -18,20 +20,21 @@ from pyspark.sql import functions as F
 
 from .tokenizer import SEGMENT_CHARS, cut_points, piece_encoder, vocabulary_dir
 
-#: Texts whose ids are held as lists at a time.
-BATCH = 256
+#: Texts whose ids are held as lists at a time; characters of a part that is encoded in one task; parts joined at a time.
+BATCH, SPREAD_CHARS, FAN_IN = 256, 1 << 20, 16
 
 
-def _encode_batches(batches, ranks: str, lengths: bool):
+def _encode_batches(batches, ranks: str, lengths: bool, size: int):
     import numpy as np
     import pyarrow as pa
 
-    encoder = piece_encoder(ranks).encoding
+    encoder = piece_encoder(ranks)
+    plain = encoder.encoding.encode_ordinary
     for batch in batches:
         texts = batch.column("text").fill_null("")
         counts, flat = [], []
         for at in range(0, len(texts), BATCH):
-            ids = [encoder.encode_ordinary(x) for x in texts.slice(at, BATCH).to_pylist()]
+            ids = [plain(x) if len(x) <= size else encoder.encode_long(x, size) for x in texts.slice(at, BATCH).to_pylist()]
             counts += map(len, ids)
             if not lengths:
                 flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
@@ -55,42 +58,43 @@ def _cut(frames, size: int):
             yield pd.DataFrame({"doc_id": doc, "digest": digest, "n": range(n), "segment": [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]})
 
 
-def _encode_segments(frames, ranks: str):
+def _encode_parts(frames, ranks: str, size: int):
     encoder = piece_encoder(ranks)
     for frame in frames:
-        yield frame.assign(ids=[encoder.encode(s) for s in frame["segment"]])
-
+        yield frame.assign(ids=[encoder.encode_long(s, size) for s in frame["segment"]], copies=1)
 
-def _join_doc(frame, ranks: str):
-    import pandas as pd
 
+def _join_parts(frame, ranks: str):
+    """Neighbouring parts of one text as one; equal rows of a text are one text with a number of copies."""
     encoder = piece_encoder(ranks)
     frame = frame.sort_values("n", kind="stable")
-    copies = int((frame["n"] == 0).sum())
+    first = frame["n"].iloc[0]
+    copies = int(frame.loc[frame["n"] == first, "copies"].sum())
     one = frame.drop_duplicates("n")
     text = "".join(one["segment"])
     cuts = [0, *one["segment"].str.len().cumsum()]
     ids = encoder.join_segments(text, cuts, [list(map(int, x)) for x in one["ids"]])
-    return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]] * copies, "ids": [ids] * copies})
+    return one.iloc[:1].assign(segment=text, ids=[ids], copies=copies)
 
 
-def token_ids(documents: DataFrame, vocabulary: str | None = None, segment_chars: int = SEGMENT_CHARS, lengths: bool = False) -> DataFrame:
+def token_ids(documents: DataFrame, vocabulary: str | None = None, segment_chars: int = SEGMENT_CHARS, lengths: bool = False, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``doc_id, ids`` of each document, or ``doc_id, n_tokens`` with ``lengths``."""
     folder = vocabulary or vocabulary_dir()
     ranks = f"{folder}/byte_bpe_50k.tiktoken"
     docs = documents.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    long = F.coalesce(F.length("text") > segment_chars, F.lit(False))
+    long = F.coalesce(F.length("text") > spread_chars, F.lit(False))
     out = f"doc_id {kind}, " + ("n_tokens int" if lengths else "ids array<int>")
-    short = docs.where(~long).mapInArrow(partial(_encode_batches, ranks=ranks, lengths=lengths), out)
-    segments = (
+    here = docs.where(~long).mapInArrow(partial(_encode_batches, ranks=ranks, lengths=lengths, size=segment_chars), out)
+    parts = f"doc_id {kind}, digest bigint, n int, segment string, ids array<int>, copies int"
+    joined = (
         docs.where(long)
         .select("doc_id", F.xxhash64("text").alias("digest"), "text")
-        .mapInPandas(partial(_cut, size=segment_chars), f"doc_id {kind}, digest bigint, n int, segment string")
+        .mapInPandas(partial(_cut, size=spread_chars), f"doc_id {kind}, digest bigint, n int, segment string")
         .repartition("doc_id", "n")
-        .mapInPandas(partial(_encode_segments, ranks=ranks), f"doc_id {kind}, digest bigint, n int, segment string, ids array<int>")
+        .mapInPandas(partial(_encode_parts, ranks=ranks, size=segment_chars), parts)
     )
-    joined = segments.groupBy("doc_id", "digest").applyInPandas(lambda frame: _join_doc(frame, ranks), f"doc_id {kind}, ids array<int>")
-    if lengths:
-        joined = joined.select("doc_id", F.size("ids").alias("n_tokens"))
-    return short.unionByName(joined)
+    joined = joined.groupBy("doc_id", "digest", F.floor(F.col("n") / FAN_IN)).applyInPandas(lambda key, frame: _join_parts(frame, ranks), parts)
+    joined = joined.groupBy("doc_id", "digest").applyInPandas(lambda key, frame: _join_parts(frame, ranks), parts)
+    value = F.size("ids").alias("n_tokens") if lengths else F.col("ids")
+    return here.unionByName(joined.select("doc_id", value, F.explode(F.sequence(F.lit(1), "copies"))).drop("col"))

@@ -3,14 +3,14 @@
 A document longer than a container gives full containers of its own and a rest; a document is
 split in no other case.  Rests and shorter documents are dealt by hash to blocks of about
 ``BLOCK_ITEMS`` items.  Each block is filled best-fit by falling size and then improved by local
-search: documents of underfull bins are moved, exchanged one for one or two for one, always such
-that the sum of squared fills rises, until bins empty or no exchange helps.  The bins that are
-still underfull (a few per block) are taken apart again and packed together with those of
-``FAN_IN`` other blocks, level by level, so at the end the whole corpus has about as many
-underfull containers as one block.
+search over all its underfull bins: documents are moved, exchanged one for one or two for one, always such
+that the sum of squared fills rises, until bins empty or no exchange helps.  Of each block the emptiest
+bins are taken apart again and packed with those of ``FAN_IN`` other blocks, level by level; a block
+passes on its share of the items of one block.  So at the end the whole corpus has about as many underfull
+containers as one block.
 
-A block is bounded, whatever the data: no document, source or length that holds many rows
-changes that, since items are dealt by a hash of their id.
+A block is bounded on every level, whatever the data: items are dealt by a hash of their id, and the
+blocks of one group pass on BLOCK_ITEMS items at most.  Bins that are not passed on stay as they are; no item is dropped.
 
 Edge cases: null and empty texts have no tokens and take no container (container is null);
 repeated rows are items of their own; an empty table gives no rows.
@@ -27,10 +27,8 @@ from .common import materialize
 from .p8_tokens import token_ids
 
 CAPACITY = 2048
-#: Items of a block, bins of one level that are packed together, and bins that local search looks at.
-BLOCK_ITEMS, FAN_IN, SEARCH_BINS = 8192, 32, 64
-#: A bin with less free space than this share of the capacity is left alone.
-SLACK = 0.004
+#: Items of a block, and blocks whose emptiest bins are packed together on the next level, as one block.
+BLOCK_ITEMS, FAN_IN = 8192, 32
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -51,77 +49,134 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, most: int = SEARCH_BINS) -> list[list[int]]:
-    """Local search over the emptiest bins; each step raises the sum of squared fills.
-
-    For a pair of bins with fills a >= b, taking items of total x from the fuller one and giving it
-    items of total y with x < y <= x + free space raises a*a + b*b.  Steps: (0, 1) a move, (1, 1) and
-    (1, 2), (2, 1) exchanges.  Of each pair the step that fills the fuller bin most is taken.
+class _Search:
+    """Local search over bins.  Which totals of one and of two items the bins can give is kept as an index
+    from total to bins and, for each bin and for all, as bits of an integer, so the best exchange of a bin
+    with any emptier one is found without looking at pairs of bins."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        self.holders: tuple[dict, dict] = ({}, {})  # total of one or two items -> bins
+        self.every = [0, 0]
+        self.totals: dict[int, tuple[set, set]] = {}
+
+    def _totals(self, k: int) -> tuple[set, set]:
+        counts: dict[int, int] = {}
+        for i in self.bins[k]:
+            counts[self.sizes[i]] = counts.get(self.sizes[i], 0) + 1
+        kinds = sorted(counts)
+        return set(kinds), {a + b for n, a in enumerate(kinds) for b in kinds[n:] if a != b or counts[a] > 1}
+
+    def enter(self, k: int) -> None:
+        self.totals[k] = self._totals(k)
+        for of in (0, 1):
+            for y in self.totals[k][of]:
+                at = self.holders[of].setdefault(y, set())
+                if not at:
+                    self.every[of] |= 1 << y
+                at.add(k)
+
+    def leave(self, k: int) -> None:
+        for of, totals in enumerate(self.totals.pop(k)):
+            for y in totals:
+                at = self.holders[of][y]
+                at.discard(k)
+                if not at:
+                    self.every[of] &= ~(1 << y)
+
+    def _donor(self, of: int, y: int, k: int) -> int | None:
+        """The emptiest bin, no fuller than k, that can give a total of y."""
+        able = [j for j in self.holders[of].get(y, ()) if j != k and (self.fill[j], j) < (self.fill[k], k)]
+        return min(able, key=lambda j: (self.fill[j], j), default=None)
+
+    def best(self, k: int):
+        """(bin that gives, total out of k, items of it, total into k, items of it) with the largest gain."""
+        free = self.capacity - self.fill[k]
+        one, two = self.totals[k]
+        best, gain = None, 0
+        # Nothing or one item against one or two; two items against one.
+        for outs, n_out, kinds in (((0,), 0, (0, 1)), (one, 1, (0, 1)), (two, 2, (0,))):
+            for x in outs:
+                for of in kinds:
+                    held = (self.every[of] >> (x + 1)) & ((1 << max(0, min(free, self.fill[k] - x))) - 1)  # an emptier bin gives no more than k has
+                    while held:
+                        g = held.bit_length()
+                        if g <= gain:
+                            break
+                        donor = self._donor(of, x + g, k)
+                        if donor is not None:
+                            best, gain = (donor, x, n_out, x + g, of + 1), g
+                            break
+                        held &= ~(1 << (g - 1))
+                if gain == free:
+                    return best
+        return best
+
+    def _pick(self, k: int, total: int, n: int) -> list[int]:
+        if n < 2:
+            return [next(i for i in self.bins[k] if self.sizes[i] == total)] if n else []
+        first: dict[int, int] = {}
+        for i in self.bins[k]:
+            if total - self.sizes[i] in first:
+                return [first[total - self.sizes[i]], i]
+            first.setdefault(self.sizes[i], i)
+        raise AssertionError("no two items of this total")
+
+    def step(self, k: int) -> bool:
+        found = self.best(k)
+        if found is None:
+            return False
+        donor, out, n_out, into, n_in = found
+        gone, come = self._pick(k, out, n_out), self._pick(donor, into, n_in)
+        for j, less, more in ((k, gone, come), (donor, come, gone)):
+            self.leave(j)
+            self.bins[j] = [i for i in self.bins[j] if i not in less] + more
+            self.fill[j] += sum(self.sizes[i] for i in more) - sum(self.sizes[i] for i in less)
+            if self.bins[j] and self.fill[j] < self.capacity:
+                self.enter(j)
+        return True
+
+    def run(self) -> list[list[int]]:
+        for k in range(len(self.bins)):
+            if self.fill[k] < self.capacity:
+                self.enter(k)
+        moved = True
+        while moved:
+            moved = False
+            for k in sorted(self.totals, key=lambda k: (-self.fill[k], k)):
+                while k in self.totals and self.step(k):
+                    moved = True
+        return [b for b in self.bins if b]
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over all underfull bins; each step raises the sum of squared fills.
+
+    A bin of fill a takes items of total y for items of total x out of a bin of fill b <= a, x < y <= x + free
+    space: that raises a*a + b*b.  Steps: (0, 1) and (0, 2) moves, (1, 1), (1, 2) and (2, 1) exchanges.  Of each
+    bin the step that fills it most is taken, with the emptiest bin that allows it.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    open_bins = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])[:most]
-    changed = True
-    while changed:
-        changed = False
-        open_bins = sorted((k for k in open_bins if bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k))
-        for p, hi in enumerate(open_bins):
-            for lo in reversed(open_bins[p + 1 :]):
-                if not bins[lo] or fill[hi] == capacity:
-                    continue
-                step = _best_step(bins[hi], bins[lo], sizes, capacity - fill[hi])
-                if step:
-                    out, into = step
-                    gain = sum(sizes[i] for i in into) - sum(sizes[i] for i in out)
-                    bins[hi] = [i for i in bins[hi] if i not in out] + list(into)
-                    bins[lo] = [i for i in bins[lo] if i not in into] + list(out)
-                    fill[hi] += gain
-                    fill[lo] -= gain
-                    changed = True
-    return [b for b in bins if b]
-
-
-def _best_step(high: list[int], low: list[int], sizes: list[int], free: int):
-    """(items to take out of high, items to put in) with the largest gain of at most ``free``."""
-    singles = sorted((sizes[i], i) for i in low)
-    pairs = sorted((sizes[i] + sizes[j], i, j) for n, i in enumerate(low) for j in low[n + 1 :]) if len(low) <= 48 else []
-    best, gain = None, 0
-
-    def offer(out: tuple, total: int, options: list) -> None:
-        nonlocal best, gain
-        at = bisect_left(options, (total + free + 1,)) - 1
-        if at >= 0 and options[at][0] - total > gain:
-            best, gain = (out, options[at][1:]), options[at][0] - total
-
-    offer((), 0, singles)
-    if gain < free:
-        offer((), 0, pairs)
-    for i in high:
-        if gain == free:
-            break
-        offer((i,), sizes[i], singles)
-        offer((i,), sizes[i], pairs)
-    if gain < free and len(high) <= 48:
-        for n, i in enumerate(high):
-            for j in high[n + 1 :]:
-                offer((i, j), sizes[i] + sizes[j], singles)
-    return best
+    return _Search([list(b) for b in bins], sizes, capacity).run()
 
 
-def _pack_block(key, frame, capacity: int, level: int):
+def _pack_block(key, frame, capacity: int, level: int, passed: int):
     frame = frame.sort_values(["n_tokens", "item"], ascending=[False, True], kind="stable")
     sizes = frame["n_tokens"].astype(int).tolist()
     bins = improve(best_fit(sizes, capacity), sizes, capacity)
+    fills = [sum(sizes[i] for i in members) for members in bins]
     block = key[0]
-    container, fill = [None] * len(sizes), [0] * len(sizes)
-    for k, members in enumerate(bins):
-        total = sum(sizes[i] for i in members)
-        for i in members:
-            container[i], fill[i] = f"{level}-{block}-{k}", total
-    return frame.assign(container=container, fill=fill)[["item", "n_tokens", "container", "fill", "block"]]
+    container, fill, loose, left = [None] * len(sizes), [0] * len(sizes), [False] * len(sizes), passed
+    for k in sorted(range(len(bins)), key=lambda k: (fills[k], k)):
+        passes = fills[k] < capacity and len(bins[k]) <= left
+        left = left - len(bins[k]) if passes else 0
+        for i in bins[k]:
+            container[i], fill[i], loose[i] = f"{level}-{block}-{k}", fills[k], passes
+    return frame.assign(container=container, fill=fill, loose=loose)[["item", "n_tokens", "container", "fill", "block", "loose"]]
 
 
-def _packer(capacity: int, level: int):
-    return lambda key, frame: _pack_block(key, frame, capacity, level)
+def _packer(capacity: int, level: int, passed: int):
+    return lambda key, frame: _pack_block(key, frame, capacity, level, passed)
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -129,18 +184,18 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
     items = materialize(items.select("item", "n_tokens"), "pack-items")
     count = items.count()
     blocks = max(1, -(-count // block_items))
-    schema = "item string, n_tokens int, container string, fill int, block int"
+    schema = "item string, n_tokens int, container string, fill int, block int, loose boolean"
     loose = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
     done, level = [], 0
     while True:
-        packed = loose.groupBy("block").applyInPandas(_packer(capacity, level), schema)
+        passed = max(1, block_items // min(FAN_IN, blocks))
+        packed = loose.groupBy("block").applyInPandas(_packer(capacity, level, passed), schema)
         if blocks == 1:
             done.append(packed)
             break
         packed = materialize(packed, f"pack-{level}")
-        underfull = F.col("fill") < capacity * (1 - SLACK)
-        done.append(packed.where(~underfull))
-        loose = packed.where(underfull).select("item", "n_tokens", F.floor(F.col("block") / FAN_IN).cast("int").alias("block"))
+        done.append(packed.where(~F.col("loose")))
+        loose = packed.where("loose").select("item", "n_tokens", F.floor(F.col("block") / FAN_IN).cast("int").alias("block"))
         blocks, level = -(-blocks // FAN_IN), level + 1
     out = done[0]
     for part in done[1:]:

@@ -1,8 +1,9 @@
 """Encoding with the public byte-level BPE vocabulary, for texts of any length.
 
-Ordinary texts are encoded in one go.  A long text is cut into segments, the segments are
-encoded apart, and neighbours are joined by encoding a window around the join again; the
-window grows until both sides agree exactly.
+A text of more than ``SEGMENT_CHARS`` characters is cut into segments, the segments are encoded apart,
+and neighbours are joined in a tree by encoding a window around the join again; the window grows until
+both sides agree exactly.  A cut inside one unsplit piece joins the tokens of its two parts; a cut before
+white space needs no window.
 
 Why the joins are exact.  The splitting pattern looks at most one character ahead and never
 behind, so scanning from any true piece boundary gives the true pieces from there on.  All
@@ -18,8 +19,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-#: Texts up to this many characters are encoded in one go; longer ones are cut into segments.
-SEGMENT_CHARS = 65_536
+#: Characters of a segment: a leaf of the tree.
+SEGMENT_CHARS = 2_048
 #: Bytes of one unsplit piece that are encoded in one go.
 LEAF_BYTES = 256
 
@@ -107,20 +108,61 @@ class PieceEncoder:
             spans = joined
         return spans[0][2] if spans else []
 
+    def encode_long(self, text: str, size: int = SEGMENT_CHARS) -> list[int]:
+        """Encoding of a text of any length by the tree."""
+        if len(text) <= size:
+            return self.encoding.encode_ordinary(text)
+        cuts = cut_points(text, size)
+        return self.join_segments(text, cuts, [self.encoding.encode_ordinary(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    @staticmethod
+    def _sure(text: str, a: int, at: int) -> int:
+        """The last sure boundary up to ``at``: the start of white space after something else, else ``a``."""
+        while at > a:
+            p = max(text.rfind(c, a + 1, at + 1) for c in " \n\u3000\t")
+            while p > a and text[p - 1].isspace():
+                p -= 1
+            if p > a:
+                return p
+            return a
+        return a
+
+    def _tokens_of(self, ids: list[int], n_bytes: int) -> int:
+        """How many of the first ``ids`` hold so many bytes; -1 if none do."""
+        seen = k = 0
+        while seen < n_bytes and k < len(ids):
+            seen += len(self.bytes_of[ids[k]])
+            k += 1
+        return k if seen == n_bytes else -1
+
+    def _join_piece(self, text: str, s: int, m: int, e: int, left: list[int], right: list[int]) -> list[int] | None:
+        """The join of the two parts of one unsplit piece text[s:e]."""
+        before, after = (len(text[x:y].encode("utf-8", "surrogatepass")) for x, y in ((s, m), (m, e)))
+        i, j = self._tokens_of(left[::-1] if len(left) < 4096 else left[: -before - 1 : -1], before), self._tokens_of(right, after)
+        if i < 0 or j < 0:
+            return None
+        return left[: len(left) - i] + self.join(left[len(left) - i :], right[:j]) + right[j:]
+
     def _join_at(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         if a < m < b and not text[m - 1].isspace() and text[m].isspace():
             return left + right  # white space after something else always starts a piece
-        sure_left = [s for s, _ in self.pieces(text, a, m)][:-2]
         window = 256
         while True:
-            lo = next((s for s in reversed(sure_left) if s <= m - window), a)
-            hi = min(b, m + window)
+            lo, hi = self._sure(text, a, m - window), min(b, m + window)
+            own_left = list(self.pieces(text, lo, m))
+            if not text[m - 1].isspace() and not text[m].isspace():
+                s = own_left[-1][0]
+                whole, rest = self.pattern.match(text, s, b), self.pattern.match(text, m, b)
+                if whole and rest and whole.end() == rest.end():
+                    joined = self._join_piece(text, s, m, rest.end(), left, right)
+                    if joined is not None:
+                        return joined
             seen = list(self.pieces(text, lo, hi))
             own = list(self.pieces(text, m, hi))
             starts = {s for s, _ in own}
             agreed = next((s for s, _ in (seen if hi == b else seen[:-2]) if s > m and s in starts), b if hi == b else None)
             if agreed is not None:
-                dropped = sum(len(self._encode_piece(text, *p)) for p in self.pieces(text, lo, m))
+                dropped = sum(len(self._encode_piece(text, *p)) for p in own_left)
                 skipped = sum(len(self._encode_piece(text, *p)) for p in own if p[1] <= agreed)
                 middle = [i for p in seen if p[1] <= agreed for i in self._encode_piece(text, *p)]
                 return left[: len(left) - dropped] + middle + right[skipped:]

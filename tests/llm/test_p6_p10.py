@@ -95,13 +95,27 @@ def test_long_unsplit_pieces_are_exact():
         assert e.encode(text) == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+def test_tree_equals_encoding_in_one_go():
+    rng = random.Random(9)
+    e = tokenizer.PieceEncoder(f"{tokenizer.vocabulary_dir()}/byte_bpe_50k.tiktoken", leaf=16)
+    parts = ["word", " ", "\n\n", "日本語テキスト", "x" * 90, "don't", "12345", "  ", "é́", "\u200b", "👩‍👩‍👧", "ไทย", "\u3000", "!?..", "'s", "ааааббб" * 12]
+    for n in range(150):
+        text = "".join(rng.choice(parts[:: rng.choice([1, 1, 3])]) for _ in range(rng.randrange(1, 60)))
+        assert e.encode_long(text, rng.choice([3, 8, 24, 64])) == e.encoding.encode_ordinary(text), (n, text)
+    for text in ("y" * 5000, "ab" * 3000, "日本" * 2000, "な。" * 900, " " * 700 + "x"):
+        assert e.encode_long(text, 128) == e.encoding.encode_ordinary(text)
+
+
 def test_token_ids(spark):
     rng = random.Random(1)
     long = " ".join(rng.choice(["word", "日本語", "x" * 50, "12"]) for _ in range(800))
     texts = ["hello world", "", None, "<|endoftext|> is text", long, long, "y" * 5000]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
-    for size in (65536, 500):
-        got = {r["doc_id"]: r["ids"] for r in p8_tokens.token_ids(df, segment_chars=size).collect()}
+    df = df.union(df.where("doc_id = 4"))
+    for size, spread in ((2048, 1 << 20), (100, 700), (500, 40)):
+        rows = p8_tokens.token_ids(df, segment_chars=size, spread_chars=spread).collect()
+        assert len(rows) == len(texts) + 1
+        got = {r["doc_id"]: r["ids"] for r in rows}
         assert got == {i: REFERENCE.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert p8_tokens.token_ids(df.limit(0)).count() == 0
 
@@ -132,6 +146,23 @@ def test_improve_empties_bins():
     assert all(sum(sizes[i] for i in b) <= 100 for b in out)
 
 
+def test_improve_sees_all_bins_and_items():
+    # Two for one in bins of many items, and an exchange with the last of many bins.
+    sizes = [1] * 60 + [38] + [31, 9] + [97] * 80
+    out = p9_packing.improve([[*range(60), 60], [61, 62], *[[i] for i in range(63, 143)]], sizes, 100)
+    assert sorted(itertools.chain(*out)) == list(range(143))
+    assert len(out) == 82 and max(sum(sizes[i] for i in b) for b in out) == 100  # 38 out, 31 and 9 in
+    rng = random.Random(3)
+    sizes = [rng.randrange(1100, 1150) for _ in range(3000)]
+    assert len(p9_packing.improve(p9_packing.best_fit(sizes, 2048), sizes, 2048)) == 3000
+
+
+def test_levels_are_bounded(spark):
+    df = spark.createDataFrame([(str(i), 60) for i in range(3000)], "item string, n_tokens int")
+    got = p9_packing.pack_items(df, 100, 64).collect()
+    assert len(got) == 3000 and len({r["container"] for r in got}) == 3000
+
+
 CASES = [
     ("press_review", "Dr. Selda mixed it in Jan. 2010 at 33.3 rpm. It works! “We slept. We never stopped,” recalls Hami. Done.", ["rpm.", "It works!", "recalls Hami.", "Done."]),
     ("press_review", "The label (it was founded in 1989. It closed in 2011.) never paid.The rest is rumour", ["never paid.", "is rumour"]),
