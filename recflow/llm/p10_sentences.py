@@ -296,8 +296,9 @@ class Splitter:
         return True
 
     def _common(self, word: str, own: Evidence) -> bool:
+        """Whether a capitalised word is no name: the document says so first, then the corpus and the list."""
         low = word.lower()
-        return low in OPENERS or low in own.small or low not in own.names and low in self.small
+        return low in own.small or low not in own.names and (low in self.small or low in OPENERS)
 
     def _opens(self, rest: str) -> bool:
         opening = self._opening(rest)

@@ -28,6 +28,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,15 @@ def _slots(words: list[str], frame: frozenset) -> list[str]:
     return [w if w in frame else "#" if w[0].isdigit() else "*" for w in words]
 
 
+def prefix_hashes(words: list[str]) -> list[int]:
+    """A hash of each beginning of a list of words, in one pass."""
+    state, out = xxhash.xxh64(), []
+    for w in words:
+        state.update(w + " ")
+        out.append(state.intdigest() - (1 << 63))
+    return out
+
+
 def _count_words(frames):
     for frame in frames:
         ends, goes, sure = Counter(), Counter(), Counter()
@@ -90,10 +100,10 @@ def _count_frames(frames, shared):
         for field, value in zip(frame["field_name"], frame["value"], strict=True):
             units.update(" ".join(_slots(u, shared.value)) for u in _units(field, value))
         for unit, n in units.items():
-            ends[unit] += n
-            words = unit.split(" ")
-            for k in range(1, len(words)):
-                goes[" ".join(words[:k])] += n
+            *begins, whole = prefix_hashes(unit.split(" "))
+            ends[whole] += n
+            for key in begins:
+                goes[key] += n
         keys = list(ends.keys() | goes.keys())
         if keys:
             yield pd.DataFrame({"frame": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
@@ -110,12 +120,14 @@ def _look_at_ends(frames, shared):
             open_label = value.rfind("[") > value.rfind("]") or value.rfind("(") > value.rfind(")")
             ended = not dots and bool(TERMINAL.search(value))
             label = bool(LABEL.search(value)) and not open_label
-            rows.append((crawl_id, field, source, text, len(value), len(value.encode("utf-8", "replace")), last[-1] if last else None, " ".join(_slots(last, shared.value)) if last else None, sign, open_label, ended, label, dots))
+            slots = _slots(last, shared.value)
+            telling = any(w not in ("*", "#") for w in slots)  # a frame of slots only says nothing
+            rows.append((crawl_id, field, source, text, len(value), len(value.encode("utf-8", "replace")), last[-1] if last else None, prefix_hashes(slots)[-1] if slots else 0, slots[-1:] == ["*"], telling, sign, open_label, ended, label, dots))
         if rows:
-            yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "text", "n_chars", "n_bytes", "word", "frame", "sign", "open_label", "ended", "label", "dots"])
+            yield pd.DataFrame(rows, columns=["crawl_id", "field_name", "source", "text", "n_chars", "n_bytes", "word", "frame", "slot_last", "telling", "sign", "open_label", "ended", "label", "dots"])
 
 
-_LOOKS = "field_name string, source string, text bigint, n_chars int, n_bytes int, word string, frame string, sign boolean, open_label boolean, ended boolean, label boolean, dots boolean"
+_LOOKS = "field_name string, source string, text bigint, n_chars int, n_bytes int, word string, frame bigint, slot_last boolean, telling boolean, sign boolean, open_label boolean, ended boolean, label boolean, dots boolean"
 
 
 def length_spikes(looks: DataFrame) -> DataFrame:
@@ -155,7 +167,7 @@ def judge(crawl: DataFrame) -> DataFrame:
     words = materialize(words.groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"), F.sum("sure").alias("sure")), "ends-words")
     frequent = [r["word"] for r in words.orderBy(F.desc(F.col("ends") + F.col("goes")), "word").limit(FRAME_WORDS).collect()]
     shared = spark.sparkContext.broadcast(frozenset(frequent))
-    frames = rows.select("field_name", "value").mapInPandas(lambda it: _count_frames(it, shared), "frame string, ends bigint, goes bigint")
+    frames = rows.select("field_name", "value").mapInPandas(lambda it: _count_frames(it, shared), "frame bigint, ends bigint, goes bigint")
     frames = frames.groupBy("frame").agg(F.sum("ends").alias("frame_ends"), F.sum("goes").alias("frame_goes"))
     looks = materialize(rows.withColumn("text", F.xxhash64("value")).mapInPandas(lambda it: _look_at_ends(it, shared), f"crawl_id {kind}, {_LOOKS}"), "ends-looks")
     spikes = materialize(length_spikes(looks), "ends-spikes")
@@ -180,11 +192,10 @@ def judge(crawl: DataFrame) -> DataFrame:
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     part_of_word = (n("known") * BEGINNING_TIMES < n("longer")) & (n("longer") > 0)
-    often_whole = ~F.coalesce(F.col("frame").endswith("*"), F.lit(False)) & (n("frame_ends") >= 5) & (n("frame_ends") >= n("frame_goes"))
+    often_whole = ~F.col("slot_last") & (n("frame_ends") >= 5) & (n("frame_ends") >= n("frame_goes"))
     rarely_ends = ~often_whole & (n("goes") >= LEAST_SEEN) & (n("ends") < WORD_SHARE * (n("ends") + n("goes")))
     share = F.when(F.col("at_spike"), SPIKE_SHARE).otherwise(FRAME_SHARE)
-    telling = F.col("frame").rlike("[^*# ]")  # a frame of slots only says nothing
-    goes_on = telling & (n("frame_goes") >= LEAST_SEEN) & (n("frame_ends") < share * (n("frame_ends") + n("frame_goes")))
+    goes_on = F.col("telling") & (n("frame_goes") >= LEAST_SEEN) & (n("frame_ends") < share * (n("frame_ends") + n("frame_goes")))
     reason = (
         F.when(F.col("sign"), "sign")
         .when(F.col("open_label"), "open bracket")

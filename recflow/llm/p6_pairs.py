@@ -5,7 +5,8 @@ one assistant message.  Rules, in order:
 
 ``empty``           nothing visible, only marks, or a filler that stands for no answer
 ``refusal``         a sentence declines, and no other sentence names anything
-``copy``            nearly all neighbouring words of the answer are neighbours in the question
+``copy``            copied prefixes of the question make up nearly all of the answer, or nearly all
+                    neighbouring words of the answer are neighbours in the question (restyled copies)
 ``other_language``  both languages are clear from their function words or scripts, and differ;
                     names, titles and quotations are taken out first
 ``truncated``       an open quotation or bracket, or an end without a mark of the sentence whose
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, role_of
-from .p4_truncation import FRAME_SHARE, FRAME_WORDS, LEAST_SEEN, WORD_SHARE
+from .p4_truncation import FRAME_SHARE, FRAME_WORDS, LEAST_SEEN, WORD_SHARE, prefix_hashes
 
 ORDER = ("empty", "refusal", "copy", "other_language", "truncated")
 
@@ -51,7 +52,14 @@ REFUSALS = re.compile(
     r"|regeln erlauben (?:es )?(?:mir )?nicht|nenne ich kein"
     r"|je ne peux pas (?:répondre|aider|recommander|conseiller)|je préfère ne pas|m'est impossible de|règles m'interdisent|ne donnerai (?:donc )?aucun"
     r"|no puedo (?:ayudarte|responder|recomendar)|prefiero no|no me es posible|normas no me permiten|no daré ninguna"
-    r"|お答えできません|おすすめすることはできません|お手伝いできません|できかねます|お断り|ご紹介できません|控えさせて|規則|ルール上",
+    r"|お答えできません|おすすめすることはできません|お手伝いできません|できかねます|お断り|ご紹介できません|控えさせて|規則|ルール上"
+    r"|não (?:posso|consigo) (?:ajudar|responder|recomendar)|não me é possível|prefiro não|recuso"
+    r"|non (?:posso|riesco a) (?:aiutar|risponder|consigliar|raccomandar)|preferisco non|mi rifiuto"
+    r"|kan (?:ik )?(?:je |u )?(?:hier(?:bij|mee) )?(?:helaas )?niet (?:helpen|beantwoorden|mee helpen)|kan geen \w+ aanbevelen|liever niet beantwoorden"
+    r"|не могу (?:помочь|ответить|рекомендовать|посоветовать)|вынужден[аы]? отказать|отказываюсь|предпочитаю не"
+    r"|nie mogę (?:pomóc|odpowiedzieć|polecić)|muszę odmówić|kan (?:tyvärr |desværre |dessverre )?(?:jag |jeg )?(?:tyvärr |desværre |dessverre )?(?:inte|ikke) (?:hjälpa|svara|hjelpe|hjælpe|svare)"
+    r"|yardımcı olamam|yanıt veremem|öneremem|无法(?:回答|帮助|提供|推荐)|不能(?:回答|帮助|推荐)|無法(?:回答|幫助|推薦)|抱歉，我不能|답변(?:할|드릴) 수 없|도와드릴 수 없|추천(?:할|해 드릴) 수 없"
+    r"|لا (?:أستطيع|يمكنني) (?:المساعدة|مساعدتك|الإجابة|التوصية)|אינני יכול|איני יכול|मदद नहीं कर सकत|उत्तर नहीं दे सकत|ไม่สามารถ(?:ตอบ|ช่วย|แนะนำ)",
     re.IGNORECASE,
 )
 #: Function words by language (fixed values).
@@ -79,7 +87,8 @@ COPY_SHARE = 0.8
 PART_TIMES = 20
 
 #: Pieces of which every refusal has one, to look at few answers closely (fixed values).
-_REFUSAL_SIGNS = ("n't", "n’t", " not ", "cannot", "unable", "declin", "recommendation from", "no can do", "out on this", "leave it there", "refuse", "no song", "nicht", "kein", "ne peux", "préfère", "impossible", "interdis", "aucun", "no puedo", "prefiero", "posible", "permiten", "ninguna", "できません", "お断り", "かねます", "控え", "規則", "ルール")
+_REFUSAL_SIGNS = ("n't", "n’t", " not ", "cannot", "unable", "declin", "recommendation from", "no can do", "out on this", "leave it there", "refuse", "no song", "nicht", "kein", "ne peux", "préfère", "impossible", "interdis", "aucun", "no puedo", "prefiero", "posible", "permiten", "ninguna", "できません", "お断り", "かねます", "控え", "規則", "ルール",
+    "não", "prefiro", "recuso", "non ", "preferisco", "rifiuto", "niet", "geen", "не могу", "отказ", "предпочитаю", "nie mog", "odmówić", "inte", "ikke", "amam", "emem", "无法", "不能", "無法", "수 없", "لا ", "אינני", "איני", "नहीं", "ไม่สามารถ")
 _UNSPACED = re.compile("[぀-ヿ一-鿿฀-๿]")
 _OTHER_SCRIPT = re.compile("[Ͱ-῿぀-鿿가-힯]")
 _NAME_LINKS = frozenset("of in the or and until vs vs. before x feat. me no".split())
@@ -90,6 +99,8 @@ _ENDING_WORD = re.compile("[぀-ヿ一-鿿฀-๿]|\\w+(?:['’]\\w+)*|[—–]"
 _UNIT = re.compile(r"(?<=[.!?…])\s+(?![a-zà-ÿ—–&])|(?<=[。！？])|[\r\n]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|「[^」]*」|『[^』]*』")
 _NAME = re.compile(r"(?<=[^\s.!?…:»”\"])\s+(?:(?:Dr|St|DJ|The|Mr|Mrs)\.?\s+)?[A-ZÀ-ÖØ-Þ][\w'’]*(?:[\s,&]+(?:of|in|the|or|and|until|vs\.?|before|No\.?|x|feat\.?|[A-ZÀ-ÖØ-Þ0-9][\w'’.]*))*")
+#: So many letters and digits, whatever lies between them, are no filler.
+_LETTERS = re.compile(r"(?:[^\W_][\W_]*){24}")
 _TAIL = re.compile(r"(?:[\s\U0001F000-\U0001FAFF☀-➿️‍]+|[:;]-?[)(DP]|\((?:really|lol|haha)\))+$")
 _TERMINAL = re.compile(r"[.!?。！？।؟]['\"”’»)\]]*$")
 _DOTS = re.compile(r"(?:…|\.{2,})['\"”’»)\]]*$")
@@ -108,8 +119,8 @@ def _visible(text: str) -> bool:
 def is_empty_answer(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 60:
-        return not _visible(text)
+    if _LETTERS.search(text):  # most answers: a run of letters longer than any filler
+        return False
     words = _plain(text)
     if not words:
         return not any(unicodedata.category(c) == "So" for c in text)
@@ -130,17 +141,25 @@ def is_refusal(text: str) -> bool:
     return True
 
 
+def _copied_prefix(q: list[str], a: list[str]) -> int:
+    """Words of the answer that are covered by its copies of a prefix of the question, of half of it at least."""
+    least, covered, at = max(2, (len(q) + 1) // 2), 0, 0
+    while at <= len(a) - least:
+        k = 0
+        while k < len(q) and at + k < len(a) and a[at + k] == q[k]:
+            k += 1
+        covered, at = (covered + k, at + k) if k >= least else (covered, at + 1)
+    return covered
+
+
 def is_copy(question: str, answer: str) -> bool:
-    if answer.isascii() or not _UNSPACED.search(answer):
-        # Words as they stand: where few are shared, few neighbours are.
-        words, known = answer.lower().split(), set(question.lower().split())
-        if 2 * sum(w in known for w in words) < len(words) and len(words) > 3:
-            return False
     q, a = _plain(question), _plain(answer)
     if len(a) < 2 or len(q) < 2:
         return bool(a) and a == q
     if len(a) < 0.5 * len(q):
         return False
+    if _copied_prefix(q, a) >= COPY_SHARE * len(a):
+        return True
     known = set(zip(q, q[1:], strict=False))
     hits = sum(p in known for p in zip(a, a[1:], strict=False))
     return hits >= COPY_SHARE * (len(a) - 1)
@@ -223,32 +242,32 @@ def _slots(words: list[str], frame: frozenset) -> list[str]:
 
 
 def _count_ends(frames, shared):
-    """Counts of words and frames as endings and as going on, of the answers of a batch."""
+    """Counts of words (``word``) and frames (``form``, a hash) as endings and as going on, of the answers of a batch."""
     for frame in frames:
-        ends, goes = Counter(), Counter()
+        words: tuple[Counter, Counter] = (Counter(), Counter())
+        forms: tuple[Counter, Counter] = (Counter(), Counter())
         units: Counter = Counter()
         for text in frame["answer"]:
-            own = _units(_TAIL.sub("", text))
-            for u in own:
-                for w in u[:-1]:
-                    goes["w " + w] += 1
-                ends["w " + u[-1]] += 1
+            for u in _units(_TAIL.sub("", text)):
+                words[1].update(u[:-1])
+                words[0][u[-1]] += 1
                 units[" ".join(_slots(u, shared.value))] += 1
         for unit, n in units.items():
-            ends["f " + unit] += n
-            words = unit.split(" ")
-            for k in range(1, len(words)):
-                goes["f " + " ".join(words[:k])] += n
-        keys = list(ends.keys() | goes.keys())
-        if keys:
-            yield pd.DataFrame({"key": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
+            *begins, whole = prefix_hashes(unit.split(" "))
+            forms[0][whole] += n
+            for key in begins:
+                forms[1][key] += n
+        for name, (ends, goes) in (("word", words), ("form", forms)):
+            keys = list(ends.keys() | goes.keys())
+            if keys:
+                yield pd.DataFrame({"word": keys if name == "word" else None, "form": pd.Series(keys if name == "form" else [None] * len(keys), dtype="Int64"), "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
 
 
 def _judge(frames, shared):
     for frame in frames:
         rows = []
         for session, turn, question, answer in frame[["session_id", "turn_number", "question", "answer"]].itertuples(index=False):
-            found, marked, opened, word, form = [], True, False, None, None
+            found, marked, opened, word, form, telling = [], True, False, None, 0, False
             if is_empty_answer(answer):
                 found.append("empty")
             else:
@@ -261,11 +280,12 @@ def _judge(frames, shared):
                 if q and a and q != a:
                     found.append("other_language")
                 marked, last, opened = ending(answer)
-                if not marked and last:
-                    word, form = "w " + last[-1], "f " + " ".join(_slots(last, shared.value))
-            rows.append((session, turn, found, marked, opened, word, form))
+                if (opened or not marked) and last:
+                    slots = _slots(last, shared.value)
+                    word, form, telling = last[-1], prefix_hashes(slots)[-1], any(w not in ("*", "#") for w in slots)
+            rows.append((session, turn, found, marked, opened, word, form, telling))
         if rows:
-            yield pd.DataFrame(rows, columns=["session_id", "turn_number", "found", "marked", "opened", "word", "form"])
+            yield pd.DataFrame(rows, columns=["session_id", "turn_number", "found", "marked", "opened", "word", "form", "telling"])
 
 
 def defects(messages: DataFrame) -> DataFrame:
@@ -277,29 +297,30 @@ def defects(messages: DataFrame) -> DataFrame:
     words = answers.select(F.explode(F.split(F.lower("answer"), r"(?U)[^\w'’]+")).alias("word")).where(F.col("word") != "")
     frequent = [r["word"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(FRAME_WORDS).collect()]
     shared = spark.sparkContext.broadcast(frozenset([*frequent, "—", "–"]))
-    counts = answers.mapInPandas(lambda it: _count_ends(it, shared), "key string, ends bigint, goes bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    counts = answers.mapInPandas(lambda it: _count_ends(it, shared), "word string, form bigint, ends bigint, goes bigint").groupBy("word", "form").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     counts = materialize(counts, "pairs-ends")
     judged = materialize(
-        both.mapInPandas(lambda it: _judge(it, shared), f"session_id {kinds['session_id']}, turn_number {kinds['turn_number']}, found array<string>, marked boolean, opened boolean, word string, form string"),
+        both.mapInPandas(lambda it: _judge(it, shared), f"session_id {kinds['session_id']}, turn_number {kinds['turn_number']}, found array<string>, marked boolean, opened boolean, word string, form bigint, telling boolean"),
         "pairs-judged",
     )
-    known = counts.where(F.col("key").startswith("w ")).select(F.substring("key", 3, 1 << 30).alias("w"), (F.col("ends") + F.col("goes")).alias("n"))
+    of_words, of_forms = counts.where(F.col("word").isNotNull()), counts.where(F.col("form").isNotNull())
+    known = of_words.select(F.col("word").alias("w"), (F.col("ends") + F.col("goes")).alias("n"))
     begins = (
         known.select(F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"), "w", "n")
-        .groupBy(F.concat(F.lit("w "), F.expr("substring(w, 1, k)")).alias("word"))
+        .groupBy(F.expr("substring(w, 1, k)").alias("word"))
         .agg(F.sum(F.when(F.col("k") == F.length("w"), F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(F.col("k") < F.length("w"), F.col("n")).otherwise(0)).alias("longer"))
     )
-    unsure = judged.where(~F.col("marked") & F.col("word").isNotNull()).select("session_id", "turn_number", "opened", "word", "form")
+    unsure = judged.where((F.col("opened") | ~F.col("marked")) & F.col("word").isNotNull()).select("session_id", "turn_number", "opened", "word", "form", "telling")
     looked = (
-        unsure.join(counts.select(F.col("key").alias("word"), F.col("ends").alias("word_ends"), F.col("goes").alias("word_goes")), "word", "left")
+        unsure.join(of_words.select("word", F.col("ends").alias("word_ends"), F.col("goes").alias("word_goes")), "word", "left")
         .join(begins, "word", "left")
-        .join(counts.select(F.col("key").alias("form"), F.col("ends").alias("form_ends"), F.col("goes").alias("form_goes")), "form", "left")
+        .join(of_forms.select("form", F.col("ends").alias("form_ends"), F.col("goes").alias("form_goes")), "form", "left")
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    often_whole = (n("form_ends") >= 5) & (n("form_ends") >= n("form_goes")) & F.col("form").substr(F.lit(3), F.lit(1 << 30)).rlike("[^*# ]")
+    often_whole = (n("form_ends") >= 5) & (n("form_ends") >= n("form_goes")) & F.col("telling")
     part_of_word = (n("known") * PART_TIMES < n("longer")) & (n("longer") > 0)
     rarely_ends = (n("word_goes") >= LEAST_SEEN) & (n("word_ends") < WORD_SHARE * (n("word_ends") + n("word_goes")))
-    goes_on = F.col("form").substr(F.lit(3), F.lit(1 << 30)).rlike("[^*# ]") & (n("form_goes") >= LEAST_SEEN) & (n("form_ends") < FRAME_SHARE * (n("form_ends") + n("form_goes")))
+    goes_on = F.col("telling") & (n("form_goes") >= LEAST_SEEN) & (n("form_ends") < FRAME_SHARE * (n("form_ends") + n("form_goes")))
     cut = looked.withColumn("cut", F.col("opened") | part_of_word | (~often_whole & (rarely_ends | goes_on)))
     short = cut.select("session_id", "turn_number", "cut", "word", "form", "word_ends", "word_goes", "known", "longer", "form_ends", "form_goes")
     same = [F.col("j.session_id").eqNullSafe(F.col("c.session_id")), F.col("j.turn_number").eqNullSafe(F.col("c.turn_number"))]

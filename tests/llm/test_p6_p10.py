@@ -38,6 +38,19 @@ def test_pair_defects(spark):
     assert p6_pairs.first_defects(messages(spark, rows).limit(0)).count() == 0
 
 
+def test_rules_beyond_the_lists():
+    for text in ("Desculpe, não posso ajudar com isso.", "Mi dispiace, non posso rispondere.", "К сожалению, не могу помочь с этим.", "抱歉，我无法回答这个问题。"):
+        assert p6_pairs.is_refusal(text), text
+    assert not p6_pairs.is_refusal('Mi dispiace, non posso rispondere. Prova "Paper Moon" di Dal Fenor.')
+    for text in ("." * 60, "." * 61, "-- " * 500, " " * 200 + "No response" + " " * 200, "\u200b" * 90):
+        assert p6_pairs.is_empty_answer(text), text
+    assert not p6_pairs.is_empty_answer("ok") and not p6_pairs.is_empty_answer("no response came from the band that night, so they played on")
+    assert p6_pairs.ending('He said "this is it.')[2]
+    q = "can you find a tender song for the train"
+    assert p6_pairs.is_copy(q, "You said: can-you-find a ＴＥＮＤＥＲ song, for the train!") and p6_pairs.is_copy(q, q + " " + q)
+    assert not p6_pairs.is_copy(q, "can you find a tender song for the train is a fine wish, so try Paper Moon by Dal Fenor tonight")
+
+
 def test_languages():
     assert p6_pairs.language("¿Tienes algo más tranquilo para leer por la noche?") == "es"
     assert p6_pairs.language("Prueba Where the Valley Sleeps de Dal Fenor, que mantiene un pulso suave") == "es"
@@ -61,6 +74,12 @@ def test_sessions_to_drop(spark):
     kept = {r["session_id"]: [(t["turn_number"], t["role"], t["content"]) for t in r["turns"]] for r in p7_conversations.conversations(messages(spark, rows)).collect()}
     assert kept["ok"] == [(1, "user", "q1"), (1, "assistant", "a1"), (2, "user", "q2"), (2, "music", "t"), (2, "assistant", "a2")]
     assert set(kept) == {"ok", "blank reply"}
+    log = full("log", 1) + [("log", 1, "assistant", "better"), ("log", 1, "assistant", "a1"), ("log", 1, "music", "t"), ("log", 1, "music", "u"), ("log", 1, "music", "t")]
+    log += [("gone", 1, "user", "q1")] + full("gone", 2) + [("gone", 2, "assistant", None), (None, 1, "user", "q"), (None, 1, "bot", "a")]
+    kept = {r["session_id"]: [(t["turn_number"], t["role"], t["content"]) for t in r["turns"]] for r in p7_conversations.conversations(messages(spark, log)).collect()}
+    assert kept == {"log": [(1, "user", "q1"), (1, "music", "t"), (1, "music", "u"), (1, "assistant", "better")], "gone": [(1, "user", "q1"), (1, "assistant", "a1"), (2, "user", "q2")], None: [(1, "user", "q"), (1, "assistant", "a")]}
+    folded = {(r["speaker"], r["n_versions"], r["retries"]) for r in p7_conversations.fold(messages(spark, log)).where("session_id = 'log'").collect()}
+    assert folded == {("user", 1, 0), ("assistant", 2, 1), ("music", 1, 1), ("music", 1, 0)}
     parts = p7_conversations.conversations(messages(spark, full("long", 7)), part_turns=3).orderBy("part").collect()
     assert [len(r["turns"]) for r in parts] == [6, 6, 2]
     assert p7_conversations.dropped_sessions(messages(spark, rows).limit(0)).count() == 0
