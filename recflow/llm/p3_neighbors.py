@@ -1,7 +1,10 @@
 """The most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
-1. A bounded sample (``SAMPLE`` vectors of each type, drawn by a hash of the id) fits the coarse
-   centroids and the codebooks of the residuals.  Every vector is indexed.
+1. A bounded sample (at most ``MOST_SAMPLE`` vectors of each type, drawn by a hash of the id) fits the coarse
+   centroids, as many as the root of the number of vectors, and the codebooks of the residuals.  Every vector
+   is indexed.  The index that is sent to all tasks has at most MOST_SAMPLE / SAMPLE_PER_CELL centroids and
+   256 * dimension codewords a type: 18 MB a type of 1,024 dimensions, whatever the data; the sample that the
+   driver holds at most 134 MB.  From 16.8 million vectors a type on cells grow instead of their number.
 2. Each vector is a query in the cell of its nearest centroid, and its code (nearest centroid and
    quantised residual) is a candidate in its ``probes`` nearest cells.  So codes of some 70 bytes
    are what travels, and each full vector travels to one cell.
@@ -17,7 +20,7 @@ hold more than ``CELL_ROWS`` classes, as estimated from the sample, are searched
 queries and candidates whose results are merged.
 
 Edge cases: null, empty, all-zero vectors, vectors with null or NaN elements and those of another
-dimension are left out; a (type, track) with several different vectors keeps the one with the
+dimension than most of their type are left out; a (type, track) with several different vectors keeps the one with the
 smallest hash; ties of the cosine go to the smaller id; types are searched apart; with fewer than
 k other vectors all of them come out; an empty table gives no rows.
 """
@@ -28,25 +31,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_rows, materialize
 
-#: Dimension of a type, and of all other types (fixed values).
-DIMENSIONS = {"cf-bpr": 128}
-OTHER_DIMENSION = 1024
-#: Vectors of each type that fit the index, rounds of fitting, and the most cells of a type.
-SAMPLE, ROUNDS, MOST_CELLS = 4096, 6, 512
+#: Vectors of a type that fit its index: at least SAMPLE, SAMPLE_PER_CELL for each of the cells (the root of the
+#: number of vectors), at most MOST_SAMPLE.  Rounds of fitting; types that fit the driver.
+SAMPLE, SAMPLE_PER_CELL, MOST_SAMPLE, ROUNDS, MOST_TYPES = 4096, 8, 32_768, 6, 64
 #: Elements of a vector that share a codebook, by dimension; codewords of a codebook.
 CODE_WIDTH, CODEWORDS = {128: 4, 1024: 16}, 256
-#: Classes of a cell that are searched in one go, and how far an estimate may fall short.
-CELL_ROWS, MARGIN = 4096, 0.3
+#: Classes of a cell that are searched in one go, estimates held at a time, and how far an estimate may fall short.
+CELL_ROWS, ESTIMATES, MARGIN = 4096, 1 << 24, 0.3
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vector_type, track_id, vector, v``: rows that count; v is the hash of the vector."""
-    want = F.lit(OTHER_DIMENSION)
-    for kind, dimension in DIMENSIONS.items():
-        want = F.when(F.col("vector_type") == kind, dimension).otherwise(want)
-    fine = (F.size("vector") == want) & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    fine = (F.size("vector") > 0) & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x))
     return vectors.where(F.col("vector_type").isNotNull() & F.col("track_id").isNotNull() & fine).select("vector_type", "track_id", "vector", F.xxhash64("vector").alias("v"))
 
 
@@ -55,10 +53,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, sphere: bool = False)
     k = max(1, min(k, len(x)))
     centers = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        score = x @ centers.T
-        if not sphere:
-            score -= 0.5 * (centers * centers).sum(1)
-        near = score.argmax(1)
+        half = 0.0 if sphere else 0.5 * (centers * centers).sum(1)
+        near = np.concatenate([(x[a : a + 4096] @ centers.T - half).argmax(1) for a in range(0, len(x), 4096)])
         order = np.argsort(near, kind="stable")
         starts = np.searchsorted(near[order], np.arange(k))
         counts = np.bincount(near, minlength=k)
@@ -82,9 +78,9 @@ def _nearest_code(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
 def fit_index(sample: np.ndarray, count: int) -> dict:
     """Coarse centroids, codebooks and blocks per cell, of a sample of unit vectors out of ``count``."""
     d = sample.shape[1]
-    cells = max(1, min(MOST_CELLS, int(count**0.5), len(sample) // 8))
+    cells = max(1, min(int(count**0.5), len(sample) // SAMPLE_PER_CELL))
     centers = _kmeans(sample, cells, ROUNDS, 1, sphere=True)
-    near = (sample @ centers.T).argmax(1)
+    near = np.concatenate([(sample[a : a + 4096] @ centers.T).argmax(1) for a in range(0, len(sample), 4096)])
     residual = sample - centers[near]
     width = CODE_WIDTH.get(d) or next(w for w in (16, 8, 4, 2, 1) if d % w == 0)
     books = [_kmeans(np.ascontiguousarray(residual[:, s : s + width]), CODEWORDS, ROUNDS, 2) for s in range(0, d, width)]
@@ -93,13 +89,33 @@ def fit_index(sample: np.ndarray, count: int) -> dict:
     return {"centers": centers.astype(np.float32), "books": np.stack(books).astype(np.float32), "blocks": blocks}
 
 
-def fit_indexes(rows: DataFrame) -> dict[str, dict]:
-    counts = {r["vector_type"]: r["n"] for r in rows.groupBy("vector_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+def dimensions(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    """The dimension of each type (that of most of its vectors, of the larger one if equal) and its number of vectors."""
+    out: dict[str, tuple[int, int]] = {}
+    sizes = bounded_rows(rows.groupBy("vector_type", F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")), MOST_TYPES * 4096)
+    for r in sorted(sizes, key=lambda r: (r["n"], r["d"])):
+        out[r["vector_type"]] = (r["d"], r["n"])
+    if len(out) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} types of vectors")
+    return out
+
+
+def of_dimension(rows: DataFrame, known: dict[str, tuple[int, int]]) -> DataFrame:
+    """Rows whose vector has the dimension of its type."""
+    want = F.lit(None).cast("int")
+    for kind, (d, _) in known.items():
+        want = F.when(F.col("vector_type") == kind, d).otherwise(want)
+    return rows.where(F.size("vector") == want)
+
+
+def fit_indexes(rows: DataFrame, known: dict[str, tuple[int, int]]) -> dict[str, dict]:
+    counts = {kind: n for kind, (_, n) in known.items()}
     if not counts:
         return {}
     share = F.lit(0.0)
     for kind, n in counts.items():
-        share = F.when(F.col("vector_type") == kind, min(1.0, SAMPLE / n)).otherwise(share)
+        most = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_PER_CELL * int(n**0.5)))
+        share = F.when(F.col("vector_type") == kind, min(1.0, most / n)).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "track_id"), F.lit(1_000_000)) < share * 1_000_000).select("vector_type", "vector").toArrow()
     kinds = np.array(drawn.column("vector_type").to_pylist(), dtype=object)
     out = {}
@@ -138,7 +154,7 @@ def _place(batches, shared, probes: dict):
             score = x @ centers.T
             home = score.argmax(1).astype(np.int32)
             code = _nearest_code(x - centers[home], books)
-            most = min(max(probes.get(kind, probes[""]), int(probes.get("share", 0) * len(centers))), len(centers))
+            most = min(max(probes.get(kind, probes[""]), round(probes.get("root", 0) * len(centers) ** 0.5)), len(centers))
             near = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < len(centers) else np.broadcast_to(np.arange(len(centers)), score.shape)
             rows = []
             block = (v.view(np.uint64) % np.uint64(1 << 20)).astype(np.int64)
@@ -190,14 +206,15 @@ def _search(key, frame, shared, shortlist: int, least: float | None):
         word = books[s][code[:, s]] + centers[home, s * width : (s + 1) * width]
         norm += (word * word).sum(1)
     out = []
-    for a in range(0, len(x), 512):
-        q = x[a : a + 512]
+    step = max(1, min(512, ESTIMATES // len(cv)))
+    for a in range(0, len(x), step):
+        q = x[a : a + step]
         guess = (centers @ q.T)[home]  # candidates x queries
         for s in range(m):
             table = books[s] @ q[:, s * width : (s + 1) * width].T  # codewords x queries
             guess += table[code[:, s]]
         guess /= np.maximum(norm, 0.05)[:, None]
-        guess[cv[:, None] == qv[None, a : a + 512]] = -9
+        guess[cv[:, None] == qv[None, a : a + step]] = -9
         g = guess.T
         if least is not None:
             row, col = np.nonzero(g >= least - MARGIN)
@@ -232,10 +249,10 @@ def _cosines(batches):
         yield pa.RecordBatch.from_arrays([*kept, pa.array(np.minimum(1.0, cos))], ["vector_type", "q", "c", "cos"])
 
 
-def class_neighbors(rows: DataFrame, members: DataFrame, probes: dict, shortlist: int, least: float | None) -> DataFrame:
+def class_neighbors(rows: DataFrame, known: dict, members: DataFrame, probes: dict, shortlist: int, least: float | None) -> DataFrame:
     """``vector_type, q, c, cos`` of classes of equal vectors, both ways as found."""
     spark = rows.sparkSession
-    indexes = fit_indexes(rows)
+    indexes = fit_indexes(rows, known)
     shared = spark.sparkContext.broadcast(indexes)
     placed = rows.select("vector_type", "vector", "v").mapInArrow(lambda batches: _place(batches, shared, probes), "cell string, vector_type string, is_query boolean, v binary, home binary, data binary")
     found = placed.groupBy("vector_type", "cell").applyInPandas(lambda key, frame: _search(key, frame, shared, shortlist, least), "vector_type string, q bigint, c bigint, guess float")
@@ -259,8 +276,10 @@ def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, probes:
     """``vector_type, track_id, neighbor_id, cos, rank``: the k nearest of each usable vector, with
     ``least`` those of at least this cosine."""
     rows = usable(vectors)
+    known = dimensions(rows)
+    rows = of_dimension(rows, known)
     members = materialize(rows.groupBy("vector_type", "track_id").agg(F.min("v").alias("v")), "neighbor-members")
-    near = class_neighbors(rows, members, probes or DEFAULT_PROBES, shortlist, least)
+    near = class_neighbors(rows, known, members, probes or DEFAULT_PROBES, shortlist, least)
     # First k + 1 members of each class, smallest ids first, in two steps so that no class is one task.
     salted = members.withColumn("salt", F.pmod(F.xxhash64("track_id"), F.lit(64)))
     some = salted.withColumn("i", F.row_number().over(Window.partitionBy("vector_type", "v", "salt").orderBy("track_id"))).where(F.col("i") <= k + 1)
@@ -275,9 +294,9 @@ def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, probes:
     return ranked.where(F.col("rank") <= k).select("vector_type", "track_id", "neighbor_id", "cos", "rank")
 
 
-#: Cells that hold the code of a vector, by type; "" is for types not named, "share" a share of all cells.
+#: Cells that hold the code of a vector, by type; "" is for types not named, "root" times the root of all cells.
 #: Pairs of high cosine share near cells; the nearest of vectors without close ones are spread over many.
-CLOSE_PROBES, DEFAULT_PROBES = {"": 24}, {"": 32, "share": 0.35}
+CLOSE_PROBES, DEFAULT_PROBES = {"": 24}, {"": 32, "root": 4.2}
 
 
 def close_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85) -> DataFrame:

@@ -2,13 +2,15 @@
 
 1. Sessions and known users are the two sides of a graph; records of one component go to one
    split.  A record whose session has no known user is tied to its session only.
-2. Components of the same size and label profile (their most frequent label) form a bundle.
-   Sizes of N records take at most sqrt(2 N) different values, so bundles are a small table.
+2. Components of the same size and label profile (the shares of their labels, in quarters) form a
+   bundle.  Sizes of N records take at most sqrt(2 N) different values and labels are few, so bundles
+   are a small table.
 3. A min-cost flow over labels, giants and splits gives the rows that each split should get of
-   each label: a split's quota and its quota of each label are free up to the quota and cost
-   by the row beyond.  Components larger than the smallest quota enter one by one.
-4. The flow is rounded to whole components, bundle by bundle from the largest size down, each
-   bundle making up for the rounding of those before it.
+   each (most frequent) label: a split's quota and its quota of each label are free up to the quota and
+   cost by the row beyond.  Components larger than the smallest quota are nodes of their own; from the
+   largest on, each goes whole where most of it flows, and the flow is solved again around it.
+4. The flow is rounded to whole components, bundle by bundle from the largest size down, each bundle
+   in the proportions of its label's flow and making up for the rounding of those before it.
 5. Members of a bundle are ranked by a hash of the component and cut at the planned counts.
    The rank is built from counts per hash bucket, so that a bundle of a third of all
    components is never sorted in one task.
@@ -23,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, materialize, session_key
+from .common import bounded_rows, dealt_join, materialize, session_key
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Buckets by which members of one bundle are ranked, and bundles that fit the driver.
 BUCKETS, MOST_BUNDLES = 1024, 2_000_000
+#: Labels that have quotas of their own (rarer ones share one), and what separates the parts of a profile.
+MOST_LABELS, BETWEEN, WITHIN = 64, "\x1f", "\x1e"
 #: Cost of a row beyond a split's quota, against 1 for a row beyond a label's quota in a split.
 SPLIT_COST = 10
 
@@ -101,57 +105,83 @@ class _Network:
                 self.arcs[i ^ 1][1] += most
 
 
-def plan_bundles(bundles: list[tuple[str, int, int]], shares=SHARES) -> dict[tuple[str, int], list[int]]:
-    """(label, size) -> whole components for each split, of (label, size, number of components)."""
-    total = sum(size * n for _, size, n in bundles)
-    rows: dict[str, int] = {}
-    for label, size, n in bundles:
-        rows[label] = rows.get(label, 0) + size * n
-    giant = max(1, min(int(total * s) for s in shares if s > 0))
-    net, arcs = _Network(), {}
-    splits = range(len(shares))
-    quota = [total * s for s in shares]
+def dominant(profile: str) -> str:
+    """The most frequent label of a profile."""
+    return profile.split(BETWEEN)[0].split(WITHIN)[0]
+
+
+def _solve(rows: dict[str, int], giants: list[tuple[int, str]], fixed: dict[int, int], shares) -> tuple[dict[str, list[float]], list[list[float]]]:
+    """Rows per split of each label's small components and of each giant; ``fixed`` giants have their split."""
+    totals = dict(rows)
+    for size, label in giants:
+        totals[label] = totals.get(label, 0) + size
+    total, splits = sum(totals.values()), range(len(shares))
+    net, arcs, giant_arcs = _Network(), {}, {}
     for k in splits:
-        net.arc(("split", k), "sink", quota[k], 0)
+        net.arc(("split", k), "sink", total * shares[k], 0)
         net.arc(("split", k), "sink", total, SPLIT_COST)
-        for label, n in rows.items():
+        for label, n in totals.items():
             net.arc(("part", k, label), ("split", k), n * shares[k], 0)
             net.arc(("part", k, label), ("split", k), n, 1)
-    small: dict[str, int] = {}
-    plan = {(label, size): [0] * len(shares) for label, size, _ in bundles}
-    used = {label: [0.0] * len(shares) for label in rows}
-    left = list(quota)
-    for label, size, n in sorted(bundles, key=lambda b: (-b[1], b[0])):
-        if size > giant:  # whole into the split with the most room, which is what its own arcs would cost least
-            for _ in range(n):
-                k = max(splits, key=lambda k: (left[k], -k))
-                plan[label, size][k] += 1
-                left[k] -= size
-                arcs["giant", label, size, k] = net.arc("source", ("part", k, label), size, 0)
-        else:
-            small[label] = small.get(label, 0) + size * n
-    for label, n in small.items():
+    for i, (size, label) in enumerate(giants):
+        net.arc("source", ("giant", i), size, 0)
+        for k in splits:
+            if fixed.get(i, k) == k:
+                giant_arcs[i, k] = net.arc(("giant", i), ("part", k, label), size, 0)
+    for label, n in rows.items():
         net.arc("source", ("label", label), n, 0)
         for k in splits:
             arcs[label, k] = net.arc(("label", label), ("part", k, label), n, 0)
     net.solve("source", "sink")
-    for label in small:
-        used[label] = [net.flow(arcs[label, k]) for k in splits]
-    for label, size, n in sorted(bundles, key=lambda b: (-b[1], b[0])):
-        if size > giant:
+    flow = {label: [net.flow(arcs[label, k]) for k in splits] for label in rows}
+    return flow, [[net.flow(giant_arcs[i, k]) if (i, k) in giant_arcs else 0.0 for k in splits] for i in range(len(giants))]
+
+
+def plan_bundles(bundles: list[tuple[str, int, int]], shares=SHARES) -> dict[tuple[str, int], list[int]]:
+    """(profile, size) -> whole components for each split, of (profile, size, number of components)."""
+    total, splits = sum(size * n for _, size, n in bundles), range(len(shares))
+    of_label: dict[str, int] = {}
+    for profile, size, n in bundles:
+        of_label[dominant(profile)] = of_label.get(dominant(profile), 0) + size * n
+    known = set(sorted(of_label, key=lambda x: (-of_label[x], x))[:MOST_LABELS])
+    label_of = lambda profile: dominant(profile) if dominant(profile) in known else ""
+    least = max(1, min(int(total * s) for s in shares if s > 0))
+    rows: dict[str, int] = {}
+    giants: list[tuple[int, str]] = []
+    giant_keys: list[tuple[str, int]] = []
+    plan = {(profile, size): [0] * len(shares) for profile, size, _ in bundles}
+    left = [total * s for s in shares]
+    ordered = sorted(bundles, key=lambda b: (-b[1], b[0]))
+    for profile, size, n in ordered:
+        if size > least:
+            giants += [(size, label_of(profile))] * n
+            giant_keys += [(profile, size)] * n
+        else:
+            rows[label_of(profile)] = rows.get(label_of(profile), 0) + size * n
+    fixed: dict[int, int] = {}
+    while True:
+        flow, of_giants = _solve(rows, giants, fixed, shares)
+        if len(fixed) == len(giants):
+            break
+        # The largest giant goes whole where most of it flows; the others are solved again around it.
+        i = len(fixed)
+        fixed[i] = max(splits, key=lambda k: (of_giants[i][k], left[k], -k))
+        left[fixed[i]] -= giants[i][0]
+        plan[giant_keys[i]][fixed[i]] += 1
+    for profile, size, n in ordered:
+        if size > least:
             continue
-        flow = used[label]
-        room = [max(0.0, f) for f in flow]
-        of = sum(room) or 1.0
-        counts = [int(n * r / of) for r in room]
+        room = flow[label_of(profile)]
+        of = sum(max(0.0, f) for f in room) or 1.0
+        counts = [int(n * max(0.0, r) / of) for r in room]
         for k in splits:
-            flow[k] -= counts[k] * size
+            room[k] -= counts[k] * size
         for _ in range(n - sum(counts)):
-            k = max(splits, key=lambda k: (flow[k], -k))
+            k = max(splits, key=lambda k: (room[k], -k))
             counts[k] += 1
-            flow[k] -= size
+            room[k] -= size
         for k in splits:
-            plan[label, size][k] += counts[k]
+            plan[profile, size][k] += counts[k]
             left[k] -= counts[k] * size
     _even_out(plan, left)
     return plan
@@ -179,7 +209,10 @@ def assign_splits(records: DataFrame, sessions: DataFrame, shares=SHARES, label:
     rows = records.select("pair_id", "session_id", "turn_number", session_key(F.col("session_id")).alias("session"), F.coalesce(F.col(label), F.lit("")).alias("label"))
     rows = materialize(rows.join(tied, "session", "left").withColumn("component", F.coalesce(F.concat(F.lit("user:"), "component"), lone)), "split-rows")
     by_label = rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    sized = by_label.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("label"))
+    sized = by_label.groupBy("component").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label"))).alias("labels"))
+    quarters = F.transform("labels", lambda x: F.struct(x["label"].alias("label"), F.round(-4 * x["m"] / F.col("size")).cast("int").alias("q")))
+    parts = F.transform(F.filter(quarters, lambda x: x["q"] > 0), lambda x: F.concat(x["label"], F.lit(WITHIN), x["q"].cast("string")))
+    sized = sized.select("component", "size", F.when(F.size(parts) > 0, F.array_join(parts, BETWEEN)).otherwise(F.col("labels")[0]["label"]).alias("label"))
     sized = materialize(sized.withColumn("h", F.xxhash64("component")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")), "split-components")
     counts = sized.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
     plan = plan_bundles([(r["label"], r["size"], r["n"]) for r in bounded_rows(counts, MOST_BUNDLES)], shares)
@@ -193,7 +226,7 @@ def assign_splits(records: DataFrame, sessions: DataFrame, shares=SHARES, label:
         "component",
         F.when(F.col("rank") <= F.col("to_train"), SPLITS[0]).when(F.col("rank") <= F.col("to_validation"), SPLITS[1]).otherwise(SPLITS[2]).alias("split"),
     )
-    return rows.join(placed, "component").select("pair_id", "session_id", "turn_number", "component", "split")
+    return dealt_join(rows, materialize(placed, "split-placed"), ["component"]).select("pair_id", "session_id", "turn_number", "component", "split")
 
 
 def split_report(assigned: DataFrame) -> DataFrame:
