@@ -28,6 +28,8 @@ NOISE = (
     r"^\d{1,2}\s*of\s*\d{1,2}$",
 )
 LONGEST_TAG = 30
+#: Beginnings of tags that the text index leaves out (fixed values).
+SEARCH_NOISE = ("via ", "ion b ", "3 of ", "4 of ", "5 of ")
 
 
 def first_filled(names: Column) -> Column:
@@ -56,7 +58,27 @@ def clean_tags(tags: Column) -> Column:
 
 def search_tags(tags: Column) -> Column:
     """Tags for the text index: lower case, two letters or more, no digits, distinct."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: (F.length(t) >= 2) & ~t.rlike(r"\d")))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: (F.length(t) >= 2) & ~t.rlike(r"\d") & ~t.rlike("^(" + "|".join(SEARCH_NOISE) + ")")))
+
+
+def kept_tags(tags: Column, freq: Column, least: int = 5, most: int | None = 20, dedup: bool = True, by_frequency: bool = False) -> Column:
+    """Plain tags without noise that ``least`` tracks have at least, in order (or by falling frequency), ``most`` of them.
+
+    ``freq`` is a map from plain tag to its number of tracks.  With ``dedup``, of two tags of which one contains the
+    other the more frequent stays, of equally frequent ones the longer, of equally long ones the first: a tag is left
+    out if a kept one beats it, else it takes the place of all kept ones it meets.
+    """
+    listed = F.transform(clean_tags(tags), lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(freq, t), F.lit(0)).cast("long").alias("n")))
+    listed = F.filter(listed, lambda x: x["n"] >= least)
+    if dedup:
+        meets = lambda a, b: F.contains(a["t"], b["t"]) | F.contains(b["t"], a["t"])
+        wins = lambda x, k: (x["n"] > k["n"]) | ((x["n"] == k["n"]) & (F.length(x["t"]) > F.length(k["t"])))
+        step = lambda kept, x: F.when(F.exists(kept, lambda k: meets(x, k) & ~wins(x, k)), kept).otherwise(F.array_append(F.filter(kept, lambda k: ~meets(x, k)), x))
+        listed = F.aggregate(listed, F.array().cast("array<struct<t:string,n:bigint>>"), step)
+    if by_frequency:
+        listed = F.transform(F.array_sort(F.transform(listed, lambda x: F.struct((-x["n"]).alias("m"), x["t"].alias("t"), x["n"].alias("n")))), lambda x: F.struct(x["t"].alias("t"), x["n"].alias("n")))
+    out = F.transform(listed, lambda x: x["t"])
+    return F.slice(out, 1, most) if most else out
 
 
 def year(date: Column) -> Column:
@@ -86,12 +108,14 @@ def popularity_bucket(popularity: Column) -> Column:
 
 
 def popularity_phrase(popularity: Column) -> Column:
+    """Words for a popularity of up to 20, 40, 60 and 80, and beyond."""
     p = popularity_round(popularity)
-    return F.when(p >= 80, "very popular").when(p >= 60, "popular").when(p >= 40, "moderately popular").when(p >= 20, "lesser known").when(p.isNotNull(), "obscure")
+    return F.when(p <= 20, "obscure").when(p <= 40, "niche").when(p <= 60, "moderate popularity").when(p <= 80, "highly popular").when(p.isNotNull(), "mainstream hit")
 
 
 def tempo_phrase(tempo: Column) -> Column:
-    bpm = tempo.try_cast("double")
+    """Words for beats a minute below 70, 110 and 140, and beyond."""
+    bpm = F.trim(tempo.cast("string")).try_cast("double")
     return F.when(bpm < 70, "slow").when(bpm < 110, "mid-tempo").when(bpm < 140, "upbeat").when(bpm.isNotNull(), "fast")
 
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cues
+
 #: Bounds and patterns of the flags (fixed values).
 LYRICS_CHARS, CAPTION_CHARS, TEMPO = (100, 100_000), (30, 5_000), (30.0, 300.0)
 REPEATED_LINE, LEAST_LINES = 0.5, 4
 APOLOGY = r"(?i)(instrumental track that has no lyrics|this song is an instrumental|no lyrics? (available|found))"
 INSTRUMENTAL = r"(?i)^\s*[\[\(]?\s*instrumental\s*[\]\)]?\s*$"
 INFORMATIONAL = ("lyrics_method_search_fuzzy",)
+#: Characters from which on a text may be mostly unprintable, and the least share of printable ones (fixed values).
+PRINTABLE_FROM, PRINTABLE = 20, 0.5
+#: Characters that are not printed: controls but white space, formats, surrogates, private and unassigned ones, blanks but the plain one.
+UNPRINTED = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zs}\p{Zl}\p{Zp}&&[^ \n\r\t]]"
 FIELDS = ("lyrics", "caption", "chord", "tempo", "music_key", "mbid", "isrc", "label", "country", "mb_release_date")
 
 
@@ -22,6 +28,17 @@ def _length(text: Column) -> Column:
     return F.length(F.trim(text, F.lit(" \t\r\n")))
 
 
+def unprintable(text: Column) -> Column:
+    """Whether less than half of a text of 20 characters or more is printed."""
+    n = F.length(text)
+    return F.coalesce((n >= PRINTABLE_FROM) & (F.length(F.regexp_replace(text, UNPRINTED, "")) < PRINTABLE * n), F.lit(False))
+
+
+def blocking(flags: Column) -> Column:
+    """Whether a flag of lyrics or caption stands; informational ones do not count."""
+    return F.exists(flags, lambda f: (f.startswith("lyrics_") | f.startswith("caption_")) & ~f.isin(*INFORMATIONAL))
+
+
 def line_flags(rows: DataFrame, ident: str) -> DataFrame:
     """``ident, instrumental, dominated``: of the lines of the lyrics, all say instrumental; one makes up half."""
     lines = rows.select(ident, F.explode(F.split("lyrics", r"\r\n|\r|\n")).alias("line")).select(ident, F.lower(F.trim("line", F.lit(" \t"))).alias("line")).where(F.col("line") != "")
@@ -42,10 +59,12 @@ def flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
         ("lyrics_too_long", has & (F.length(text) > LYRICS_CHARS[1])),
         ("lyrics_instrumental_marker", has & F.coalesce("instrumental", F.lit(False))),
         ("lyrics_repeated_line_dominant", has & F.coalesce("dominated", F.lit(False))),
+        ("lyrics_mostly_non_printable", has & unprintable(text)),
         ("lyrics_apology", has & text.rlike(APOLOGY)),
         ("caption_empty", ~has_cap),
         ("caption_too_short", has_cap & (_length(cap) < CAPTION_CHARS[0])),
         ("caption_too_long", has_cap & (F.length(cap) > CAPTION_CHARS[1])),
+        ("caption_mostly_non_printable", has_cap & unprintable(cap)),
         ("chord_empty", blank(F.col("chord"))),
         ("key_empty", blank(F.col("music_key"))),
         ("tempo_empty", blank(F.col("tempo"))),
@@ -53,8 +72,7 @@ def flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
         ("mbid_missing", blank(F.col("mbid"))),
     ]
     found = F.array_sort(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in named))))
-    blocking = F.exists("flags", lambda f: (f.startswith("lyrics_") | f.startswith("caption_")) & ~f.isin(*INFORMATIONAL))
-    return rows.select(ident, found.alias("flags")).withColumn("ok", ~blocking)
+    return rows.select(ident, found.alias("flags")).withColumn("ok", ~blocking(F.col("flags")))
 
 
 def coverage(crawl: DataFrame) -> DataFrame:
@@ -79,21 +97,42 @@ def duplicate_texts(crawl: DataFrame, column: str = "lyrics") -> DataFrame:
     return rows.groupBy("digest").agg(F.countDistinct("track_id").alias("n_tracks")).where("n_tracks > 1")
 
 
-def match_flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
-    """``ident, flags``: how far the names and the length found with the lyrics are from those asked for."""
-    from ..functions.cues import name_similarity
+#: Least similarity of title and artist, most seconds apart, and the ways of a fuzzy search (fixed values).
+TITLE_RATIO, ARTIST_RATIO, APART, FUZZY = 0.80, 0.85, 10.0, ("lrclib_search", "genius_search")
+
 
+def seconds(duration: Column) -> Column:
+    """A length asked for, in seconds: more than 1000 are milliseconds, none or 0 is unknown."""
+    d = duration.cast("double")
+    return F.when(d > 1000, d / 1000).when(d > 0, d)
+
+
+def match_tests(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
+    """``ident, title, artist, apart, fuzzy``: similarities of names, seconds apart and way of search of found lyrics.
+
+    The similarities are null where the names are surely alike, so only doubtful pairs of names reach Python.
+    """
     m = F.col("lyrics_match")
-    rows = crawl.where(m.isNotNull()).select(ident, name_similarity(F.col("track_name"), m["track_name"]).alias("title"), name_similarity(F.col("artist_name"), m["artist_name"]).alias("artist"), _seconds(F.col("duration")).alias("want"), _seconds(m["duration"]).alias("have"), m["method"].alias("method"))
+    rows = crawl.where(m.isNotNull()).select(
+        ident, cues.compared_name(m["track_name"]).alias("t1"), cues.compared_name(F.col("track_name")).alias("t2"), cues.compared_name(m["artist_name"]).alias("a1"),
+        cues.compared_name(F.col("artist_name")).alias("a2"), F.abs(m["duration"].cast("double") - seconds(F.col("duration"))).alias("apart"), F.coalesce(m["method"].isin(*FUZZY), F.lit(False)).alias("fuzzy"),
+    )
+    return rows.select(ident, cues.name_similarity(F.col("t1"), F.col("t2")).alias("title"), cues.name_similarity(F.col("a1"), F.col("a2")).alias("artist"), "apart", "fuzzy")
+
+
+def match_flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
+    """``ident, flags``: how far the names and the length found with the lyrics are from those asked for."""
     named = [
-        ("lyrics_title_mismatch", F.col("title") < 0.8),
-        ("lyrics_artist_mismatch", F.col("artist") < 0.85),
-        ("lyrics_duration_mismatch", F.abs(F.col("want") - F.col("have")) > 10),
-        ("lyrics_method_search_fuzzy", F.col("method").contains("fuzzy")),
+        ("lyrics_title_mismatch", F.col("title") < TITLE_RATIO),
+        ("lyrics_artist_mismatch", F.col("artist") < ARTIST_RATIO),
+        ("lyrics_duration_mismatch", F.col("apart") > APART),
+        ("lyrics_method_search_fuzzy", F.col("fuzzy")),
     ]
-    return rows.select(ident, F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in named)))).alias("flags"))
+    return match_tests(crawl, ident).select(ident, F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in named)))).alias("flags"))
 
 
-def _seconds(duration: Column) -> Column:
-    d = duration.cast("double")
-    return F.when(d > 1000, d / 1000).when(d > 0, d)
+def all_flags(crawl: DataFrame, ident: str = "crawl_id") -> DataFrame:
+    """``ident, flags, ok``: flags of the fields and of the match together."""
+    match = match_flags(crawl, ident).withColumnRenamed("flags", "_match")
+    both = F.array_sort(F.concat("flags", F.coalesce("_match", F.array().cast("array<string>"))))
+    return flags(crawl, ident).join(match, ident, "left").select(ident, both.alias("flags")).withColumn("ok", ~blocking(F.col("flags")))

@@ -72,5 +72,13 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def catalog(tracks: DataFrame) -> DataFrame:
-    """One row per track: repeated rows are merged and the highest popularity counts."""
-    return tracks.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(*(F.max(c).alias(c) for c in tracks.columns if c != "track_id"))
+    """One row per track out of repeated ones: that of the highest popularity, of equal ones the last by its names, date,
+    duration and tags as text.  ``tracks`` needs all columns."""
+    listed = lambda c: F.coalesce(F.array_join(c, "\x1f", ""), F.lit(""))
+    order = [
+        F.coalesce(F.col("popularity").cast("double"), F.lit(-1.0)).alias("_0"), *(listed(c).alias(f"_{i}") for i, c in enumerate(("track_name", "artist_name", "album_name"), 1)),
+        F.coalesce("release_date", F.lit("")).alias("_4"), F.coalesce("duration", F.lit(-1)).alias("_5"), listed("tag_list").alias("_6"),
+    ]
+    rest = [c for c in tracks.columns if c != "track_id"]
+    best = tracks.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(F.max(F.struct(*order, *rest)).alias("_best"))
+    return best.select("track_id", *(F.col("_best")[c].alias(c) for c in rest))
