@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Words for decades (fixed values).
 DECADE_WORDS = {
@@ -120,7 +121,7 @@ def token_estimate(text: Column) -> Column:
     return (F.length(F.coalesce(text, F.lit(""))) / 3.5).cast("int") + 1
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of two texts that lies in matching blocks; not symmetric.  Equal pairs of a batch are compared once."""
     known: dict = {}
@@ -145,4 +146,5 @@ def name_similarity(found: Column, asked: Column) -> Column:
     shorter = F.when(F.length(found) > F.length(asked), asked).otherwise(found)
     # One blank, bracket, dash or slash after the shorter name is enough.
     note = (F.length(longer) > F.length(shorter)) & longer.startswith(shorter) & F.substring(longer, F.length(shorter) + 1, F.lit(1)).isin(*NOTE_STARTS)
-    return F.when((shorter == "") | (found == asked) | note, F.lit(1.0)).otherwise(sequence_ratio(found, asked))
+    sure = (shorter == "") | (found == asked) | note
+    return F.when(sure, F.lit(1.0)).otherwise(sequence_ratio(F.when(~sure, found), F.when(~sure, asked)))

@@ -28,6 +28,13 @@ NOISE = (
     r"^\d{1,2}\s*of\s*\d{1,2}$",
 )
 LONGEST_TAG = 30
+#: Common words that carry no content (fixed values).
+STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down "
+    "during each few for from further had has have having he her here hers him his how i if in into is it its itself just like make me more most my myself "
+    "no nor not now of off on once only or other our ours out over own really same she should so some such than that the their theirs them then there these "
+    "they this those through to too track under until up us very was we were what when where which while who whom why will with would you your yours song"
+).split()
 #: Beginnings of tags that the text index leaves out (fixed values).
 SEARCH_NOISE = ("via ", "ion b ", "3 of ", "4 of ", "5 of ")
 

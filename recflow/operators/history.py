@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .slicing import distinct_messages
@@ -55,3 +55,92 @@ def last_before(events: DataFrame, what: str, of: str) -> DataFrame:
     within = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("own", F.max(hit).over(within)).where(F.col("event_type") == what).join(days, ["user_id", "day"])
     return found.select("event_id", "user_id", "ts", F.coalesce("own", "carried").alias("prior_ts"))
+
+
+def histories(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``user_id, session_id, session_date, place, turn_number, utterance, track_id``: each pair of a known user's sessions.
+
+    ``place`` counts a user's sessions with pairs by date (undated first) and id.  Pairs stay rows, so no user's history is one value.
+    """
+    pairs = request_pairs(messages)
+    dated = session_dates(sessions).join(pairs.select("session_id").distinct(), "session_id", "left_semi")
+    order = Window.partitionBy("user_id").orderBy(F.coalesce("session_date", F.lit("")), "session_id")
+    return dated.withColumn("place", F.row_number().over(order)).join(pairs, "session_id").select("user_id", "session_id", "session_date", "place", "turn_number", "utterance", "track_id")
+
+
+def history_records(pairs: DataFrame) -> DataFrame:
+    """``user_id, n_sessions, n_turns, sessions``: one record per user, its sessions in order with their pairs."""
+    pair = F.struct("turn_number", "utterance", "track_id")
+    each = pairs.groupBy("user_id", "place", "session_id", "session_date").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "session_id", "session_date", "pairs")))
+    return each.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum(F.size("pairs")).alias("n_turns"), listed.alias("sessions"))
+
+
+def profiles(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``user_id, profile, n_sessions, n_turns``: users with a profile, a history or both."""
+    counts = pairs.groupBy("user_id").agg(F.countDistinct("session_id").alias("n_sessions"), F.count(F.lit(1)).alias("n_turns"))
+    known = sessions.where((F.trim(F.coalesce("user_id", F.lit(""))) != "") & F.col("user_profile").isNotNull())
+    # Of several profiles of a user, the first by session.
+    first = known.groupBy("user_id").agg(F.min(F.struct("session_id", "user_profile"))["user_profile"].alias("profile"))
+    both = first.join(counts, "user_id", "full_outer")
+    return both.select("user_id", "profile", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), F.coalesce("n_turns", F.lit(0)).alias("n_turns"))
+
+
+def before(pairs: DataFrame, targets: DataFrame, strict: bool = True) -> DataFrame:
+    """``target, ...pairs``: the pairs of each target's user from sessions before its date, never from the target itself.
+
+    ``targets``: target (a session id), user_id, target_date.  Strict: an earlier date, and undated sessions are left out;
+    else the same day and undated ones count too.  A target without a date has the whole history.
+    """
+    date = F.col("session_date")
+    inside = date < F.col("target_date") if strict else date.isNull() | (date <= F.col("target_date"))
+    rows = targets.join(pairs, "user_id").where((F.col("session_id") != F.col("target")) & (F.col("target_date").isNull() | F.coalesce(inside, F.lit(False))))
+    return rows.select("target", *pairs.columns)
+
+
+def select_pairs(pairs: DataFrame, keep: Column | None, k: int | None, by: str = "target", latest: bool = False) -> DataFrame:
+    """The first k pairs of each target for which ``keep`` holds, in order of the history (or the latest), with their ``n`` from 1."""
+    rows = pairs if keep is None else pairs.where(keep)
+    order = ["place", "turn_number", "track_id"]
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*(F.desc(c) if latest else F.col(c) for c in order)))
+    numbered = rows.withColumn("n", n)
+    return numbered.where(F.col("n") <= k) if k is not None else numbered
+
+
+def holds(word: str, any_case: bool = True) -> Column:
+    """Whether an utterance holds a word or phrase."""
+    return F.contains(F.lower("utterance"), F.lit(word.lower())) if any_case else F.contains("utterance", F.lit(word))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; null where they differ in length or one has no length."""
+    double = lambda x: F.transform(x, lambda v: v.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(double(x), double(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+
+
+def score_pairs(pairs: DataFrame, wanted: DataFrame, vectors: DataFrame, threshold: float, k: int | None, digits: int = 6) -> DataFrame:
+    """``target, n, utterance, track_id, sim``: pairs whose track is similar enough to what the target asks for, the most similar first.
+
+    ``wanted``: target, vector; ``vectors``: track_id, vector.  Ties keep the order of the history.
+    """
+    rows = pairs.join(vectors.withColumnRenamed("vector", "_v"), "track_id").join(wanted, "target")
+    scored = rows.withColumn("sim", F.round(cosine(F.col("_v"), F.col("vector")), digits)).where(F.col("sim") >= threshold)
+    n = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("sim"), "place", "turn_number", "track_id"))
+    ranked = scored.withColumn("n", n).select("target", "n", "utterance", "track_id", "sim")
+    return ranked.where(F.col("n") <= k) if k is not None else ranked
+
+
+def relevant_priors(pairs: DataFrame, candidates: DataFrame, signals: list[tuple[DataFrame, float]], digits: int = 6) -> DataFrame:
+    """``target, track_id``: prior tracks that are near a candidate by any of several signals.
+
+    ``candidates``: target, candidate; a signal: vectors (track_id, vector) and the least cosine.  Candidates per target are few (a top list).
+    """
+    priors, found = pairs.select("target", "track_id").distinct(), None
+    both = priors.join(candidates, "target")
+    for vectors, least in signals:
+        near = both.join(vectors.withColumnRenamed("vector", "_a"), "track_id").join(vectors.select(F.col("track_id").alias("candidate"), F.col("vector").alias("_b")), "candidate")
+        near = near.groupBy("target", "track_id").agg(F.max(F.round(cosine(F.col("_a"), F.col("_b")), digits)).alias("sim")).where(F.col("sim") >= least).select("target", "track_id")
+        found = near if found is None else found.unionByName(near)
+    return found.distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import NOISE, SPELLINGS
+from ..functions.text import NOISE, SEARCH_NOISE, SPELLINGS, STOP_WORDS
 
 _MSG = """m AS (SELECT session_id, turn_number,
     CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'bot') THEN 'assistant'
@@ -17,15 +17,21 @@ _SPELL = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.i
 _NOISY = " OR ".join(f"regexp_matches(y, '{p}')" for p in NOISE)
 
 
+#: Labels and cuts of popularity as the definition states them: 20, 40, 60 and 80 belong to the lower word.
+_POPULARITY = "CASE WHEN pop <= 20 THEN 'obscure' WHEN pop <= 40 THEN 'niche' WHEN pop <= 60 THEN 'moderate popularity' WHEN pop <= 80 THEN 'highly popular' WHEN pop > 80 THEN 'mainstream hit' END"
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
 def _distinct(xs: str) -> str:
     """Distinct elements in order of first appearance."""
     return f"list_filter({xs}, lambda v, i: list_position({xs}, v) = i)"
 
 
-_T = f"""c AS (SELECT track_id, max(track_name) AS track_name, max(artist_name) AS artist_name, max(album_name) AS album_name, max(release_date) AS release_date,
-    max(popularity) AS popularity, max(duration) AS duration, max(tag_list) AS tag_list FROM tracks WHERE track_id IS NOT NULL GROUP BY 1),
+_LISTED = "coalesce(array_to_string(list_transform({0}, lambda x: coalesce(x, '')), chr(31)), '')"
+_T = f"""c AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(popularity, -1) DESC, {_LISTED.format('track_name')} DESC, {_LISTED.format('artist_name')} DESC,
+    {_LISTED.format('album_name')} DESC, coalesce(release_date, '') DESC, coalesce(duration, -1) DESC, {_LISTED.format('tag_list')} DESC) AS place FROM tracks WHERE track_id IS NOT NULL) WHERE place = 1),
  c1 AS (SELECT *, list_transform(list_transform(coalesce(tag_list, []), lambda x: {_PLAIN}), lambda y: {_SPELL.format('y')}) AS plain,
-    list_filter(list_transform(coalesce(tag_list, []), lambda x: lower(trim(x))), lambda y: length(y) >= 2 AND NOT regexp_matches(y, '\\d')) AS searched FROM c),
+    list_filter(list_transform(coalesce(tag_list, []), lambda x: lower(trim(x))), lambda y: length(y) >= 2 AND NOT regexp_matches(y, '\\d') AND NOT regexp_matches(y, '^({"|".join(SEARCH_NOISE)})')) AS searched FROM c),
  c2 AS (SELECT *, list_filter({_distinct('plain')}, lambda y: NOT (y = '' OR length(y) > 30 OR {_NOISY})) AS tags, {_distinct('searched')} AS stags,
     nullif(regexp_extract(coalesce(release_date, ''), '^(\\d{{4}})', 1), '') AS year, CAST(round_even(popularity, 0) AS INT) AS pop FROM c1)"""
 _DOC = f"""{_T}, docs AS (SELECT track_id, lower(concat_ws(', ', 'title: ' || coalesce({_FIRST.format('track_name')}, 'unknown'), 'artist: ' || coalesce({_FIRST.format('artist_name')}, 'unknown'),
@@ -60,6 +66,7 @@ def _b(c: str) -> str:
 
 
 _LEN = "length(trim({0}, ' ' || chr(9) || chr(13) || chr(10)))"
+_UNPRINTED = "(length({0}) >= 20 AND length(regexp_replace({0}, '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}\\p{{Z}}]', '', 'g')) + length({0}) - length(regexp_replace({0}, '[ \\n\\r\\t]', '', 'g')) < 0.5 * length({0}))"
 _FLAGS = f"""ln AS (SELECT crawl_id, lower(trim(l, ' ' || chr(9))) AS line FROM (SELECT crawl_id, unnest(string_split_regex(lyrics, '\\r\\n|\\r|\\n')) AS l FROM track_crawl)),
  lc AS (SELECT crawl_id, line, count(*) AS n FROM ln WHERE line <> '' GROUP BY 1, 2),
  lf AS (SELECT crawl_id, bool_and(regexp_matches(line, '^\\s*[\\[\\(]?\\s*instrumental\\s*[\\]\\)]?\\s*$')) AS instrumental, sum(n) >= 4 AND max(n) >= 0.5 * sum(n) AS dominated FROM lc GROUP BY 1),
@@ -69,6 +76,8 @@ _FLAGS = f"""ln AS (SELECT crawl_id, lower(trim(l, ' ' || chr(9))) AS line FROM
     CASE WHEN NOT {_b('lyrics')} AND length(lyrics) > 100000 THEN 'lyrics_too_long' END,
     CASE WHEN NOT {_b('lyrics')} AND coalesce(instrumental, false) THEN 'lyrics_instrumental_marker' END,
     CASE WHEN NOT {_b('lyrics')} AND coalesce(dominated, false) THEN 'lyrics_repeated_line_dominant' END,
+    CASE WHEN NOT {_b('lyrics')} AND {_UNPRINTED.format('lyrics')} THEN 'lyrics_mostly_non_printable' END,
+    CASE WHEN NOT {_b('caption')} AND {_UNPRINTED.format('caption')} THEN 'caption_mostly_non_printable' END,
     CASE WHEN NOT {_b('lyrics')} AND regexp_matches(lyrics, '(?i)(instrumental track that has no lyrics|this song is an instrumental|no lyrics? (available|found))') THEN 'lyrics_apology' END,
     CASE WHEN {_b('caption')} THEN 'caption_empty' END,
     CASE WHEN NOT {_b('caption')} AND {_LEN.format('caption')} < 30 THEN 'caption_too_short' END,
@@ -90,6 +99,18 @@ def _folds(rows: str) -> str:
     return f"""fg AS (SELECT g, (row_number() OVER (ORDER BY md5('42|' || g), g) - 1) % 5 AS fold FROM (SELECT DISTINCT {_KEY} AS g FROM {rows}))"""
 
 
+_DECADES = {
+    "thirties": 1930, "forties": 1940, "fifties": 1950, "sixties": 1960, "seventies": 1970, "eighties": 1980, "nineties": 1990, "aughts": 2000, "noughties": 2000, "tens": 2010, "twenties": 2020,
+}
+
+
+def _eras(text: str) -> str:
+    """Decades of a text, numbers before words, with repeats."""
+    number = "regexp_extract(x, '(\\d+)', 1)"
+    return f"""(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '(\\b(?:(?:19|20)\\d{{2}}s?|''?\\d{{2}}s)\\b)', 1), lambda x: CASE WHEN length({number}) = 2 THEN CASE WHEN CAST({number} AS INT) >= 30 THEN '19' ELSE '20' END
+        || substring({number}, 1, 1) ELSE substring({number}, 1, 3) END || '0s') || list_transform(regexp_extract_all(lower(coalesce({text}, '')), '\\b({"|".join(_DECADES)})\\b', 1), lambda w: CASE w {" ".join(f"WHEN '{w}' THEN '{y}s'" for w, y in _DECADES.items())} END))"""
+
+
 _UNIT = "('0x' || substring(md5({0}), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
 _WIDE = f"""{_RRF}, wide AS (SELECT pair_id, track_id, min(CASE WHEN pool = 'bm25' THEN rank + 1 END) AS rank_bm25, min(CASE WHEN pool = 'popular' THEN rank + 1 END) AS rank_popular FROM rk GROUP BY 1, 2),
  ft AS (SELECT fr.pair_id, fr.track_id, fr.rank, q.session_id, rank_bm25, rank_popular, CASE WHEN fr.track_id = q.truth THEN 1 ELSE 0 END AS label
@@ -125,7 +146,7 @@ ORACLES = {
     "track_features": f"""WITH {_T} SELECT track_id, {_FIRST.format('track_name')} AS title, year, (CAST(year AS INT) // 10 * 10) || 's' AS decade,
         CASE WHEN CAST(year AS INT) % 10 <= 3 THEN 'early ' WHEN CAST(year AS INT) % 10 <= 6 THEN 'mid ' ELSE 'late ' END || (CAST(year AS INT) // 10 * 10) || 's' AS era, CAST(pop AS DOUBLE) AS popularity,
         'p' || (pop // 10 * 10) || '-' || (pop // 10 * 10 + 9) AS bucket,
-        CASE WHEN pop >= 80 THEN 'very popular' WHEN pop >= 60 THEN 'popular' WHEN pop >= 40 THEN 'moderately popular' WHEN pop >= 20 THEN 'lesser known' WHEN pop IS NOT NULL THEN 'obscure' END AS phrase,
+        {_POPULARITY} AS phrase,
         coalesce(array_to_string(tags, '|'), '') AS tags, coalesce(array_to_string(stags, '|'), '') AS search_tags FROM c2""",
     "track_text": f"WITH {_DOC} SELECT track_id, doc, substring(sha256(doc), 1, 16) AS doc_hash FROM docs",
     "quality_flags": f"WITH {_FLAGS} SELECT crawl_id, coalesce(array_to_string(flags, '|'), '') AS flags, len(list_filter(flags, lambda f: starts_with(f, 'lyrics_') OR starts_with(f, 'caption_'))) = 0 AS ok FROM fl",
@@ -145,7 +166,7 @@ ORACLES = {
     "expert_features": f"""WITH {_WIDE}, x AS (SELECT *, list_filter([rank_bm25, rank_popular], lambda v: v IS NOT NULL) AS r FROM ft)
         SELECT pair_id, track_id, CAST(rank_bm25 AS DOUBLE) AS rank_bm25, CAST(rank_popular AS DOUBLE) AS rank_popular, CAST(len(r) AS INT) AS hits, CAST(list_min(r) AS INT) AS rank_min, round(list_avg(r), 6) AS rank_mean,
                round(CASE WHEN len(r) > 1 THEN list_stddev_samp(r) ELSE 0 END, 6) AS rank_std, CAST(coalesce(list_max(r) - list_min(r), 0) AS INT) AS rank_span,
-               CASE WHEN rank_bm25 = list_min(r) THEN 'bm25' WHEN rank_popular = list_min(r) THEN 'popular' ELSE '<none>' END AS best_pool, CAST(label AS INT) AS label FROM x""",
+               CASE WHEN rank_bm25 = list_min(r) THEN 'bm25' WHEN rank_popular = list_min(r) THEN 'popular' ELSE '<none>' END AS best_pool, CAST(rank_bm25 - rank_popular AS DOUBLE) AS rank_gap, CAST(label AS INT) AS label FROM x""",
     "target_encoding": f"""WITH {_WIDE}, {_folds('ft')}, b AS (SELECT label, fold, CASE WHEN rank_bm25 IS NULL OR rank_bm25 <= 0 THEN 'missing' WHEN rank_bm25 <= 1 THEN 'r1' WHEN rank_bm25 <= 3 THEN 'r2_3' WHEN rank_bm25 <= 10 THEN 'r4_10'
             WHEN rank_bm25 <= 20 THEN 'r11_20' WHEN rank_bm25 <= 50 THEN 'r21_50' WHEN rank_bm25 <= 100 THEN 'r51_100' ELSE 'r101p' END AS bucket FROM ft JOIN fg ON fg.g = {_KEY}),
         g AS (SELECT bucket, fold, sum(label) AS y, count(*) AS n FROM b GROUP BY 1, 2), fo AS (SELECT fold, sum(y) AS y, sum(n) AS n FROM g GROUP BY 1),
@@ -177,17 +198,18 @@ ORACLES = {
     "violations": f"""WITH {_RRF}, p AS (SELECT pair_id, list(track_id) AS ids FROM fr WHERE rank < 20 GROUP BY 1)
         SELECT 'too_long' AS rule, count(*) FILTER (WHERE len(ids) > 20) AS n FROM p UNION ALL SELECT 'repeated', count(*) FILTER (WHERE len(list_distinct(ids)) < len(ids)) FROM p
         UNION ALL SELECT 'blank_id', count(*) FILTER (WHERE len(list_filter(ids, lambda x: trim(x) = '')) > 0) FROM p
+        UNION ALL SELECT 'no_list', 0 UNION ALL SELECT 'no_response', count(*) FILTER (WHERE pair_id % 2 <> 0) FROM p UNION ALL SELECT 'missing_field', 0 UNION ALL SELECT 'extra_field', 1
         UNION ALL SELECT 'unknown_track', count(DISTINCT pair_id) FROM fr WHERE rank < 20 AND track_id NOT IN (SELECT track_id FROM tracks WHERE track_id IS NOT NULL)""",
     "round_robin": "SELECT pair_id, coalesce(specificity, '') AS stratum, CAST(row_number() OVER (PARTITION BY coalesce(specificity, '') ORDER BY pair_id) AS INT) AS turn FROM train_pairs",
-    "era_cues": """WITH n AS (SELECT pair_id, list_transform(regexp_extract_all(lower(coalesce(query, '')), '\\b((?:19|20)?\\d0s)\\b', 1), lambda x: CASE WHEN length(x) = 5 THEN x WHEN CAST(x[1:2] AS INT) >= 30 THEN '19' || x ELSE '20' || x END)
-            || list_filter([CASE WHEN contains(lower(query), 'fifties') THEN '1950s' END, CASE WHEN contains(lower(query), 'sixties') THEN '1960s' END, CASE WHEN contains(lower(query), 'seventies') THEN '1970s' END,
-               CASE WHEN contains(lower(query), 'eighties') THEN '1980s' END, CASE WHEN contains(lower(query), 'nineties') THEN '1990s' END, CASE WHEN contains(lower(query), 'noughties') THEN '2000s' END], lambda x: x IS NOT NULL) AS e FROM train_pairs)
-        SELECT pair_id, coalesce(array_to_string(list_filter(e, lambda v, i: list_position(e, v) = i), '|'), '') AS eras FROM n""",
+    "era_cues": f"WITH n AS (SELECT pair_id, {_eras('query')} AS e FROM train_pairs) SELECT pair_id, coalesce(array_to_string({_distinct('e')}, '|'), '') AS eras FROM n",
     "cited_titles": f"""WITH {_MSG}, t AS (SELECT DISTINCT session_id, turn_number, content, msg_id, unnest(regexp_extract_all(content, '"([^"]+)"', 1)) AS title FROM m WHERE speaker = 'assistant' AND content IS NOT NULL)
         SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n, count(DISTINCT title) AS spellings FROM t GROUP BY 1""",
     "profile_keys": "SELECT " + " || '|' || ".join(f"coalesce(nullif(trim(user_profile.{f}), ''), 'unknown')" for f in ("age_group", "country_code", "gender", "preferred_language", "preferred_musical_culture")) + " AS key, count(*) AS n FROM sessions WHERE user_profile IS NOT NULL GROUP BY 1",
     "overused_words": f"""WITH {_MSG}, w AS (SELECT DISTINCT session_id, turn_number, content, msg_id, unnest(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9]+')) AS word FROM m WHERE speaker = 'assistant' AND content IS NOT NULL)
-        SELECT word, count(*) AS n FROM w WHERE length(word) >= 4 GROUP BY 1 HAVING count(*) >= 20""",
+        SELECT word, count(*) AS n FROM w WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z]+$') AND word NOT IN ({_STOPS}) GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, word LIMIT 25""",
+    "overused_bigrams": f"""WITH {_MSG}, w AS (SELECT session_id, turn_number, msg_id, list_filter(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9]+'), lambda x: length(x) >= 4 AND regexp_matches(x, '^[a-z]+$') AND x NOT IN ({_STOPS})) AS w FROM m WHERE speaker = 'assistant' AND content IS NOT NULL),
+        p AS (SELECT DISTINCT session_id, turn_number, msg_id, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1))
+        SELECT bigram, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, bigram LIMIT 25""",
     "artist_overview": f"""WITH {_T}, y AS (SELECT {_FIRST.format('artist_name')} AS artist, CAST(year AS INT) AS year FROM c2),
         g AS (SELECT artist, count(*) AS n_tracks, min(year) AS y0, max(year) AS y1, list_sort(list(year) FILTER (WHERE year IS NOT NULL)) AS ys FROM y GROUP BY 1)
         SELECT artist, n_tracks, y0::DOUBLE AS first_year, y1::DOUBLE AS last_year, (ys[len(ys) // 2 + 1])::DOUBLE AS median_year FROM g""",

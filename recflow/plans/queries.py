@@ -75,7 +75,7 @@ def q_lexical_diversity(s: Spark, d: str) -> DataFrame:
 
 
 def q_tag_freq(s: Spark, d: str) -> DataFrame:
-    tags = catalog(table(s, d, "tracks", "track_id", "tag_list")).select(F.explode(tx.clean_tags(F.col("tag_list"))).alias("tag"))
+    tags = catalog(table(s, d, "tracks")).select(F.explode(tx.clean_tags(F.col("tag_list"))).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,25 +139,24 @@ def q_view_before_purchase(s: Spark, d: str) -> DataFrame:
 
 def _features(s: Spark, d: str) -> DataFrame:
     rankings, _ = pool_rankings(s, d)
-    fused = ranking.top_n(ranking.rrf(rankings, ["pair_id"]), 20, ["pair_id"])
-    wide = features.pool_features(fused, rankings, list(CANDIDATES), ["pair_id"])
+    wide = features.fused_features(rankings, list(CANDIDATES), 20, ["pair_id"])
     pairs = eval_pairs(table(s, d, "train_pairs"))
     return wide.join(pairs.select("pair_id", F.col("track_id").alias("truth"), "session_id", "specificity"), "pair_id").withColumn("label", (F.col("track_id") == F.col("truth")).cast("int"))
 
 
 def q_expert_features(s: Spark, d: str) -> DataFrame:
     f = features.expert_features(_features(s, d), list(CANDIDATES))
-    return f.select("pair_id", "track_id", *(F.col(f"rank_{p}").cast("double").alias(f"rank_{p}") for p in CANDIDATES), "hits", "rank_min", "rank_mean", "rank_std", "rank_span", "best_pool", "label")
+    return f.select("pair_id", "track_id", *(F.col(f"rank_{p}").cast("double").alias(f"rank_{p}") for p in CANDIDATES), "hits", "rank_min", "rank_mean", "rank_std", "rank_span", "best_pool", F.col("rank_gap_bm25__popular").cast("double").alias("rank_gap"), "label")
 
 
 def q_target_encoding(s: Spark, d: str) -> DataFrame:
     f = _features(s, d).withColumn("bucket", features.rank_bucket(F.col("rank_bm25")))
     folded = splits.k_folds(f, F.lower(F.regexp_replace("session_id", "-", "")), 5)
-    return features.target_encode(folded, "bucket", "label", "fold").groupBy("bucket", "fold").agg(F.max("te_bucket").alias("te"), F.count(F.lit(1)).alias("n"))
+    return features.encoding_table(folded, "bucket", "label", "fold")
 
 
 def q_min_rank(s: Spark, d: str) -> DataFrame:
-    t = catalog(table(s, d, "tracks", "track_id", "artist_name", "popularity")).select("track_id", tx.first_filled(F.col("artist_name")).alias("artist"), "popularity")
+    t = catalog(table(s, d, "tracks")).select("track_id", tx.first_filled(F.col("artist_name")).alias("artist"), "popularity")
     return features.min_rank(t, ["artist"], "popularity", "place")
 
 
@@ -172,7 +171,7 @@ def q_bm25_negatives(s: Spark, d: str) -> DataFrame:
 
 def q_artist_negatives(s: Spark, d: str) -> DataFrame:
     pairs = table(s, d, "train_pairs", "pair_id", "split", "track_id").where("split = 'train'")
-    return features.same_key_negatives(pairs, catalog(table(s, d, "tracks", "track_id", "artist_name")), tx.first_filled(F.col("artist_name")), 4)
+    return features.same_key_negatives(pairs, catalog(table(s, d, "tracks")), tx.first_filled(F.col("artist_name")), 4)
 
 
 def q_dense_top10(s: Spark, d: str) -> DataFrame:
@@ -201,8 +200,9 @@ def q_fold_mean(s: Spark, d: str) -> DataFrame:
 
 
 def q_violations(s: Spark, d: str) -> DataFrame:
-    r = recommend(s, d).groupBy("pair_id").agg(F.collect_list("track_id").alias("predicted_track_ids")).select(F.col("pair_id").cast("string").alias("session_id"), F.lit(1).alias("turn_number"), "predicted_track_ids")
-    return postprocess.violations(r, catalog(table(s, d, "tracks", "track_id", "popularity")))
+    r = recommend(s, d).groupBy("pair_id").agg(F.collect_list("track_id").alias("predicted_track_ids"))
+    r = r.select(F.col("pair_id").cast("string").alias("session_id"), F.lit("").alias("user_id"), F.lit(1).alias("turn_number"), "predicted_track_ids", F.when(F.col("pair_id") % 2 == 0, "").alias("predicted_response"), F.lit(0).alias("more"))
+    return postprocess.violations(r, table(s, d, "tracks", "track_id"))
 
 
 def q_diversified(s: Spark, d: str) -> DataFrame:
@@ -233,8 +233,18 @@ def q_profile_keys(s: Spark, d: str) -> DataFrame:
 
 def q_overused_words(s: Spark, d: str) -> DataFrame:
     m = slicing.distinct_messages(table(s, d, "messages")).where("speaker = 'assistant'")
-    w = m.select(F.explode(F.array_distinct(F.filter(tx.words(F.col("content")), lambda x: F.length(x) >= 4))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    kept = F.filter(tx.words(F.col("content")), lambda x: (F.length(x) >= 4) & x.rlike("^[a-z]+$") & ~x.isin(*tx.STOP_WORDS))
+    counts = m.select(F.explode(F.array_distinct(kept)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n >= 5").orderBy(F.desc("n"), "word").limit(25)
+
+
+def q_overused_bigrams(s: Spark, d: str) -> DataFrame:
+    m = slicing.distinct_messages(table(s, d, "messages")).where("speaker = 'assistant'")
+    kept = F.filter(tx.words(F.col("content")), lambda x: (F.length(x) >= 4) & x.rlike("^[a-z]+$") & ~x.isin(*tx.STOP_WORDS))
+    w = m.select(kept.alias("w")).where(F.size("w") > 1)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    counts = w.select(F.explode(F.array_distinct(pairs)).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n >= 3").orderBy(F.desc("n"), "bigram").limit(25)
 
 
 def q_artist_overview(s: Spark, d: str) -> DataFrame:
@@ -264,7 +274,7 @@ def q_log_frequency(s: Spark, d: str) -> DataFrame:
 
 def q_bucket_negatives(s: Spark, d: str) -> DataFrame:
     pairs = table(s, d, "train_pairs", "pair_id", "split", "track_id").where("split = 'train'")
-    return features.same_key_negatives(pairs, catalog(table(s, d, "tracks", "track_id", "popularity")), tx.popularity_bucket(F.col("popularity")), 4)
+    return features.same_key_negatives(pairs, catalog(table(s, d, "tracks")), tx.popularity_bucket(F.col("popularity")), 4)
 
 
 def q_match_flags(s: Spark, d: str) -> DataFrame:
@@ -287,4 +297,9 @@ QUERIES["rrf_fusion"] = lambda s, d: _fused(s, d, ranking.rrf)
 QUERIES["rbc_fusion"] = lambda s, d: _fused(s, d, ranking.rbc)
 QUERIES["recommend_top20"] = QUERIES.pop("recommend")
 
+from .more import MORE  # noqa: E402
+from .more_oracles import MORE_ORACLES  # noqa: E402
 from .oracles import ORACLES  # noqa: E402
+
+QUERIES |= MORE
+ORACLES = ORACLES | MORE_ORACLES
