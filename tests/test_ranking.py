@@ -125,4 +125,4 @@ def test_violations(spark):
     rows = [("s", 1, [f"t{i}" for i in range(21)]), ("s", 2, ["t1", "t1"]), ("s", 3, ["zz", None]), ("s", 4, None)]
     catalog = spark.createDataFrame([(f"t{i}",) for i in range(30)], "track_id string")
     got = {r["rule"]: r["n"] for r in postprocess.violations(spark.createDataFrame(rows, "session_id string, turn_number int, predicted_track_ids array<string>"), catalog).collect()}
-    assert got == {"too_long": 1, "repeated": 1, "blank_id": 1, "unknown_track": 1}
+    assert got == {"too_long": 1, "repeated": 1, "blank_id": 1, "unknown_track": 1, "no_list": 1, "no_response": 4, "missing_field": 2, "extra_field": 0}
