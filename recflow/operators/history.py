@@ -136,11 +136,12 @@ def relevant_priors(pairs: DataFrame, candidates: DataFrame, signals: list[tuple
     """``target, track_id``: prior tracks that are near a candidate by any of several signals.
 
     ``candidates``: target, candidate; a signal: vectors (track_id, vector) and the least cosine.  Candidates per target are few (a top list).
+    Each two tracks are compared once, however many targets they meet for.
     """
-    priors, found = pairs.select("target", "track_id").distinct(), None
-    both = priors.join(candidates, "target")
+    both = pairs.select("target", "track_id").distinct().join(candidates, "target")
+    met, near = both.select("track_id", "candidate").distinct(), None
     for vectors, least in signals:
-        near = both.join(vectors.withColumnRenamed("vector", "_a"), "track_id").join(vectors.select(F.col("track_id").alias("candidate"), F.col("vector").alias("_b")), "candidate")
-        near = near.groupBy("target", "track_id").agg(F.max(F.round(cosine(F.col("_a"), F.col("_b")), digits)).alias("sim")).where(F.col("sim") >= least).select("target", "track_id")
-        found = near if found is None else found.unionByName(near)
-    return found.distinct()
+        sides = met.join(vectors.withColumnRenamed("vector", "_a"), "track_id").join(vectors.select(F.col("track_id").alias("candidate"), F.col("vector").alias("_b")), "candidate")
+        part = sides.where(F.round(cosine(F.col("_a"), F.col("_b")), digits) >= least).select("track_id", "candidate")
+        near = part if near is None else near.unionByName(part)
+    return both.join(near.distinct(), ["track_id", "candidate"]).select("target", "track_id").distinct()
