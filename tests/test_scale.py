@@ -11,7 +11,8 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from recflow.operators import retrieval
+from recflow.functions import compose
+from recflow.operators import pools, retrieval
 
 
 def bm25(queries: dict, docs: dict, k: int, seen: dict | None = None) -> dict:
@@ -52,3 +53,22 @@ def test_bm25_sends_the_best_only(spark):
     assert retrieval.candidates(queries, docs, 5, "id", "text", "d", "doc").count() == 50
     found = retrieval.search(queries, docs, 5, "id", "text", "d", "doc").where("id = 7").orderBy("rank").collect()
     assert [r["d"] for r in found] == [f"d{i:05d}" for i in range(5)]
+
+
+def test_text_pool_equals_brute_force(spark):
+    rng = random.Random(2)
+    names = ["Circus No. 10", " 0 Anchor 1 ", "Letting Go", "Golden Ladder"]
+    tracks = [(f"t{i:02d}", [f"{rng.choice(names)} {i % 4}"], [rng.choice(names)], [rng.choice(names), ""], "1999", None, None, None) for i in range(60)]
+    catalog = spark.createDataFrame(tracks, "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, release_date string, popularity double, duration int, tag_list array<string>")
+    queries = {i: (rng.choice(names), rng.sample([t[0] for t in tracks], i)) for i in range(5)}
+    q = spark.createDataFrame([(i, t, s, None) for i, (t, s) in queries.items()], "query_id long, query string, seen array<string>, specificity string")
+    got = {(r["query_id"], r["rank"] + 1): (r["track_id"], r["score"]) for r in pools.text_pool(pools.Context(q, catalog), 6, ("track_name", "artist_name", "album_name")).collect()}
+    docs = {t[0]: f"track_name: {t[1][0].strip()}\nartist_name: {t[2][0].strip()}\nalbum_name: {t[3][0].strip()}" for t in tracks}
+    lines = {t[0]: f"{t[1][0]} {t[2][0]} {t[3][0]}" for t in tracks}
+    asked = {i: "\n".join([*(lines[x] for x in s), t]) for i, (t, s) in queries.items()}
+    assert got == bm25(asked, docs, 6, {i: s for i, (_, s) in queries.items()})
+
+
+def test_names_keep_their_first_and_last_figures(spark):
+    row = spark.range(1).select(F.array(F.lit("0 Days No. 10 "), F.lit("1 More 1")).alias("x"))
+    assert row.select(compose.joined(F.col("x"))).collect()[0][0] == "0 Days No. 10, 1 More 1"
