@@ -107,6 +107,36 @@ def select_pairs(pairs: DataFrame, keep: Column | None, k: int | None, by: str =
     return numbered.where(F.col("n") <= k) if k is not None else numbered
 
 
+def pairs_before(pairs: DataFrame, targets: DataFrame, keep: Column | None, k: int, strict: bool = True, latest: bool = False) -> DataFrame:
+    """``target, n, ...pairs``: what ``select_pairs`` takes from ``before``, without pairing a user's sessions with each other.
+
+    A user's pairs are numbered in their order (``place`` has undated sessions first, then by date).  A target may have one range of these
+    numbers, less those of its own session, so its k pairs are looked up by their numbers.
+    """
+    kept = pairs if keep is None else pairs.where(keep)
+    m = F.count(F.lit(1)).alias("_m")
+    sessions = kept.groupBy("user_id", "session_id", "session_date", "place").agg(m)
+    sessions = sessions.withColumn("_from", F.sum("_m").over(Window.partitionBy("user_id").orderBy("place")) - F.col("_m"))
+    inside = F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("turn_number", "track_id"))
+    numbered = kept.withColumn("_i", inside).join(sessions.select("user_id", "session_id", "_from"), ["user_id", "session_id"]).withColumn("_x", F.col("_from") + F.col("_i"))
+    # Pairs before each date of a session or target, from sums per date.
+    days = sessions.select("user_id", F.col("session_date").alias("_d"), "_m").unionByName(targets.select("user_id", F.col("target_date").alias("_d"), F.lit(0).cast("long").alias("_m")))
+    days = days.groupBy(F.col("user_id").alias("_u"), "_d").agg(F.sum("_m").alias("_m"))
+    user = Window.partitionBy("_u")
+    before_date = user.orderBy(F.col("_d").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    undated = F.sum(F.when(F.col("_d").isNull(), F.col("_m")).otherwise(0)).over(user) if strict else F.lit(0)
+    whole = F.col("_d").isNull()
+    days = days.select("_u", "_d", F.when(whole, 0).otherwise(undated).alias("_lo"), F.when(whole, F.sum("_m").over(user)).otherwise(F.coalesce(F.sum("_m").over(before_date), F.lit(0))).alias("_hi"))
+    own = sessions.select(F.col("user_id").alias("_ou"), F.col("session_id").alias("_os"), F.col("_from").alias("_a"), F.col("_m").alias("_own"))
+    rows = targets.join(days, (F.col("user_id") == F.col("_u")) & F.col("target_date").eqNullSafe(F.col("_d"))).join(own, (F.col("user_id") == F.col("_ou")) & (F.col("target") == F.col("_os")), "left")
+    rows = rows.withColumn("_own", F.when((F.col("_a") >= F.col("_lo")) & (F.col("_a") < F.col("_hi")), F.col("_own")).otherwise(0))
+    most = F.least(F.lit(k), F.col("_hi") - F.col("_lo") - F.col("_own")).cast("int")
+    rows = rows.where(most > 0).select("target", "user_id", "_lo", "_hi", "_a", "_own", F.explode(F.sequence(F.lit(1), most)).alias("n"))
+    x = F.col("_hi") - F.col("n") + 1 if latest else F.col("_lo") + F.col("n")
+    x = x - F.when(x <= F.col("_a") + F.col("_own"), F.col("_own")).otherwise(0) if latest else x + F.when(x > F.col("_a"), F.col("_own")).otherwise(0)
+    return rows.select("target", "user_id", "n", x.alias("_x")).join(numbered, ["user_id", "_x"]).select("target", "n", *pairs.columns)
+
+
 def holds(word: str, any_case: bool = True) -> Column:
     """Whether an utterance holds a word or phrase."""
     return F.contains(F.lower("utterance"), F.lit(word.lower())) if any_case else F.contains("utterance", F.lit(word))

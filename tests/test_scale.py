@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recflow.functions import compose
-from recflow.operators import pools, retrieval
+from recflow.operators import history, pools, retrieval
 
 
 def bm25(queries: dict, docs: dict, k: int, seen: dict | None = None) -> dict:
@@ -72,3 +72,29 @@ def test_text_pool_equals_brute_force(spark):
 def test_names_keep_their_first_and_last_figures(spark):
     row = spark.range(1).select(F.array(F.lit("0 Days No. 10 "), F.lit("1 More 1")).alias("x"))
     assert row.select(compose.joined(F.col("x"))).collect()[0][0] == "0 Days No. 10, 1 More 1"
+
+
+PAIRS = "user_id string, session_id string, session_date string, place int, turn_number int, utterance string, track_id string"
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    """(pairs, targets) of a few users with equal dates, undated sessions and sessions without pairs."""
+    rng = random.Random(4)
+    pairs, targets = [], []
+    for u in range(4):
+        sessions = sorted((rng.choice(["", *(f"2024-01-{d:02d}" for d in range(1, 6))]), f"u{u}s{i}") for i in range(12))
+        targets += [(s, f"u{u}", date or None) for date, s in sessions]
+        held = [x for x in sessions if rng.random() < 0.8]
+        for place, (date, s) in enumerate(held, 1):
+            pairs += [(f"u{u}", s, date or None, place, t, rng.choice(["a song", "none"]), f"t{rng.randrange(6)}") for t in range(rng.randrange(1, 5))]
+    return spark.createDataFrame(pairs, PAIRS), spark.createDataFrame(targets, "target string, user_id string, target_date string")
+
+
+@pytest.mark.parametrize(("word", "k", "strict", "latest"), [("song", 5, True, False), (None, 3, True, True), (None, 4, False, False), ("song", 2, False, True)])
+def test_pairs_before_equal_the_paired_sessions(told, word, k, strict, latest):
+    pairs, targets = told
+    keep = history.holds(word) if word else None
+    want = history.select_pairs(history.before(pairs, targets, strict), keep, k, latest=latest).select("target", "n", *pairs.columns)
+    got = history.pairs_before(pairs, targets, keep, k, strict, latest)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
