@@ -40,16 +40,25 @@ from .common import dealt_join, materialize, session_key
 #: Words of a shingle, share of words that may differ, and words that a query must have.
 SHINGLE, MOST_EDITS, LEAST_WORDS = 2, 0.1, 6
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
+#: ASCII characters, and letters of Hangul, that show nothing.
+_HIDDEN, _FILLERS = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]"), ("\u115f", "\u1160")
 
 
 def plain(text: str | None) -> str:
-    """Words of a text, with case, accents, punctuation, spacing and invisible characters set aside."""
+    """Words of a text, with case, accents, punctuation, spacing and invisible characters set aside.  A vowel sign that takes up
+    space (as in Devanagari) is part of its word, an underscore is punctuation."""
     if not text:
         return ""
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
-    return " ".join(_WORD.findall(text.casefold()))
+    if text.isascii():
+        return " ".join(_WORD.findall(_HIDDEN.sub("", text).casefold()))
+    kept = []
+    for c in unicodedata.normalize("NFKD", text):
+        kind = unicodedata.category(c)
+        if kind in ("Mn", "Me", "Cf") or kind == "Cc" and not c.isspace() or c in _FILLERS:
+            continue
+        kept.append(c if c.isalnum() or kind == "Mc" else " ")
+    return " ".join("".join(kept).casefold().split())
 
 
 def edits_within(a: list[str], b: list[str], most: int) -> bool:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recflow.functions import compose
+from recflow.llm import p2_overlap
 from recflow.operators import history, pools, retrieval
 
 
@@ -98,3 +99,12 @@ def test_pairs_before_equal_the_paired_sessions(told, word, k, strict, latest):
     want = history.select_pairs(history.before(pairs, targets, strict), keep, k, latest=latest).select("target", "n", *pairs.columns)
     got = history.pairs_before(pairs, targets, keep, k, strict, latest)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_overlap_words_of_all_scripts(spark):
+    hindi = "मेरी पसंद की पुरानी हिंदी गाने वाली सूची दिखाओ ज़रा अभी"
+    rows = [("train", hindi), ("devset", hindi.replace("पुरानी", "नयीवाली")), ("train", "play the old_school rock_music list of mine"), ("devset", "play the old school rock music list of mine")]
+    rows += [("train", "one two three four five si\x07x"), ("devset", "one two three four five six")]
+    df = spark.createDataFrame([(i, s, "x", q, None, None) for i, (s, q) in enumerate(rows)], "pair_id long, split string, source string, query string, session_id string, turn_number int")
+    assert {tuple(r) for r in p2_overlap.overlap_pairs(df).collect()} == {(0, 1), (2, 3), (4, 5)}
+    assert p2_overlap.plain("Él “sing” naïve_x – Ⅷ\u200b") == "el sing naive x viii"
