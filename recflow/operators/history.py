@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import speaker
 from .slicing import distinct_messages
 
 
-def request_pairs(messages: DataFrame) -> DataFrame:
+def request_pairs(messages: DataFrame, said: bool = True) -> DataFrame:
     """``session_id, turn_number, utterance, track_id``: each user utterance with the first track played after
-    it; the latest utterance counts, and it is used up by that track."""
+    it; the latest utterance counts, and it is used up by that track.
+
+    Without ``said`` there is no ``utterance``, and no text of a user is shuffled.
+    """
+    if not said:
+        has = F.when(F.trim("content") != "", F.lit("-"))
+        return request_pairs(messages.withColumn("content", F.when(speaker(F.col("role")) == "user", has).otherwise(F.col("content")))).drop("utterance")
     m = distinct_messages(messages).where(F.col("speaker").isin("user", "music") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
     place = F.when(F.col("speaker") == "user", 0).otherwise(1)
     order = Window.partitionBy("session_id").orderBy("turn_number", place, "msg_id")
@@ -57,15 +64,16 @@ def last_before(events: DataFrame, what: str, of: str) -> DataFrame:
     return found.select("event_id", "user_id", "ts", F.coalesce("own", "carried").alias("prior_ts"))
 
 
-def histories(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+def histories(messages: DataFrame, sessions: DataFrame, said: bool = True) -> DataFrame:
     """``user_id, session_id, session_date, place, turn_number, utterance, track_id``: each pair of a known user's sessions.
 
     ``place`` counts a user's sessions with pairs by date (undated first) and id.  Pairs stay rows, so no user's history is one value.
+    ``said``: with the utterances.
     """
-    pairs = request_pairs(messages)
+    pairs = request_pairs(messages, said)
     dated = session_dates(sessions).join(pairs.select("session_id").distinct(), "session_id", "left_semi")
     order = Window.partitionBy("user_id").orderBy(F.coalesce("session_date", F.lit("")), "session_id")
-    return dated.withColumn("place", F.row_number().over(order)).join(pairs, "session_id").select("user_id", "session_id", "session_date", "place", "turn_number", "utterance", "track_id")
+    return dated.withColumn("place", F.row_number().over(order)).join(pairs, "session_id").select("user_id", "session_id", "session_date", "place", "turn_number", *(["utterance"] if said else []), "track_id")
 
 
 def history_records(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from recflow.functions import compose
 from recflow.llm import p2_overlap
-from recflow.operators import history, pools, retrieval
+from recflow.operators import history, pools, priors, retrieval
+from recflow.plans import more
 
 
 def bm25(queries: dict, docs: dict, k: int, seen: dict | None = None) -> dict:
@@ -101,6 +102,64 @@ def test_pairs_before_equal_the_paired_sessions(told, word, k, strict, latest):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
 
 
+def vectors_of(spark, rng, sizes: list[int]):
+    """Vectors of t0 to t5: small whole numbers (so that equal cosines occur), one with a null, one of another length."""
+    rows = [(f"t{i}", [float(rng.randrange(-2, 3)) for _ in range(n)] if n else [1.0, None]) for i, n in enumerate(sizes)]
+    return spark.createDataFrame(rows, "track_id string, vector array<float>")
+
+
+def shuffled_rows(spark, df) -> int:
+    """Rows that all stages of a run write for others."""
+    def stages():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._jvm.java.util.ArrayList()
+        found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    old = stages().keys()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for i, n in stages().items() if i not in old)
+
+
+@pytest.fixture(scope="module")
+def one_listener(spark, tmp_path_factory):
+    """Tables of one user with 300 sessions of two plays, each on a day of its own."""
+    at, rng = tmp_path_factory.mktemp("one"), random.Random(6)
+    messages = [(4 * i + 2 * t + m, f"s{i:03d}", "u", t, ("user", "music")[m], (f"song {i}", f"t{2 * i + t}")[m]) for i in range(300) for t in range(2) for m in range(2)]
+    vectors = [(kind, f"t{i}", [rng.gauss(0, 1) for _ in range(n)]) for kind, n in (("cf-bpr", 128), (pools.VECTOR_POOLS["qemb_metadata"], 1024)) for i in range(600 if n < 1000 else 50)]
+    for name, rows, kinds in (
+        ("messages", messages, "msg_id long, session_id string, user_id string, turn_number int, role string, content string"),
+        ("sessions", [(f"s{i:03d}", "u", f"20{i // 28:02d}-01-{i % 28 + 1:02d}") for i in range(300)], "session_id string, user_id string, session_date string"),
+        ("track_vectors", vectors, "vector_type string, track_id string, vector array<float>"),
+    ):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("query", ["relevant_priors"])
+def test_sessions_of_a_user_are_not_paired(spark, one_listener, query):
+    # 300 sessions have 89,700 earlier pairs.  Joins are those of large tables.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < shuffled_rows(spark, getattr(more, query)(spark, one_listener)) < 15_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("most", [1 << 15, 7])
+def test_relevant_before_equals_the_paired_sessions(spark, told, monkeypatch, most):
+    pairs, targets = told
+    rng = random.Random(5)
+    monkeypatch.setattr(priors, "MOST_HEARD", most)
+    monkeypatch.setattr(priors, "MOST_ASKED", most)
+    signals = [(vectors_of(spark, rng, [3, 3, 3, 3, 0, 2]), 0.5), (vectors_of(spark, rng, [2, 2, 0, 3, 2]), 1.0)]
+    candidates = spark.createDataFrame([(t["target"], f"t{rng.randrange(7)}") for t in targets.collect() for _ in range(2)], "target string, candidate string")
+    want = history.relevant_priors(history.before(pairs, targets), candidates, signals)
+    got = priors.relevant_before(pairs, targets, candidates, signals)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_overlap_words_of_all_scripts(spark):
     hindi = "मेरी पसंद की पुरानी हिंदी गाने वाली सूची दिखाओ ज़रा अभी"
     rows = [("train", hindi), ("devset", hindi.replace("पुरानी", "नयीवाली")), ("train", "play the old_school rock_music list of mine"), ("devset", "play the old school rock music list of mine")]
