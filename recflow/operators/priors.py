@@ -16,6 +16,18 @@ MOST_HEARD, MOST_ASKED, MOST_SCORES, BATCH_ROWS = 1 << 16, 1 << 17, 1 << 22, 1 <
 DIGITS = 6
 
 
+def scored_before(pairs: DataFrame, targets: DataFrame, wanted: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``target, n, place, turn_number, track_id, sim``: what ``history.score_pairs`` takes from ``history.before``.
+
+    ``wanted``: target, track_id (whose vector the target asks for).
+    """
+    heard = pairs.select("user_id", "track_id", F.col("session_id").alias("_x"), F.col("session_date").alias("_date"), F.array(F.struct(F.col("session_date").alias("date"), "session_id", "place", "turn_number")).alias("h"))
+    rows = _cells(heard, wanted.join(targets, "target"), [vectors])
+    found = rows.mapInArrow(lambda batches: _run(batches, _score, threshold, k), "target string, place int, turn_number int, track_id string, sim double")
+    n = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("sim"), "place", "turn_number", "track_id"))
+    return found.withColumn("n", n).where(F.col("n") <= k).select("target", "n", "place", "turn_number", "track_id", "sim")
+
+
 def relevant_before(pairs: DataFrame, targets: DataFrame, candidates: DataFrame, signals: list[tuple[DataFrame, float]]) -> DataFrame:
     """``target, track_id``: what ``history.relevant_priors`` takes from ``history.before``.
 
@@ -221,6 +233,37 @@ def _spans(first, size):
     return first[owner] + np.arange(len(owner)) - (np.cumsum(size) - size)[owner], owner
 
 
+def _score(rows: _Rows, a: int, b: int, threshold: float, k: int):
+    import numpy as np
+    import pyarrow as pa
+
+    v = rows.signals[0]
+    heard, asked = rows.sides(a, b, 0)
+    if not len(heard) or not len(asked):
+        return
+    h, of = _spans(rows.offset["h"][heard], np.diff(rows.offset["h"])[heard])
+    w, by = _spans(rows.offset["w"][asked], np.diff(rows.offset["w"])[asked])
+    order = np.lexsort((rows.track_rank[heard[of]], rows.turn[h], rows.place[h]))
+    h, of = h[order], of[order]
+    step = max(1, MOST_SCORES // len(h))
+    for at in range(0, len(w), step):
+        ws, bs = w[at : at + step], by[at : at + step]
+        g = v.guess(asked[bs], heard)[:, of]
+        g[np.isnan(g)] = np.inf  # not a number is more than any
+        g[~rows.before(h[None, :], ws[:, None]) | (g < threshold - v.margin)] = -np.inf
+        least = np.partition(g, len(h) - k, axis=1)[:, len(h) - k, None] - 2 * v.margin if len(h) > k else -np.inf
+        r, c = np.nonzero((g > -np.inf) & (g >= least))
+        sim = v.cosine(asked[bs[r]], heard[of[c]])
+        r, c, sim = (x[~(sim < threshold)] for x in (r, c, sim))
+        best = np.lexsort((c, -np.where(np.isnan(sim), np.inf, sim), r))
+        r, c, sim = r[best], c[best], sim[best]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c, sim = r[top], c[top], sim[top]
+        if len(r):
+            columns = [rows.target.take(pa.array(ws[r])), pa.array(rows.place[h[c]].astype(np.int32)), rows.turns.take(pa.array(h[c])).cast(pa.int32()), rows.track.take(pa.array(heard[of[c]])), pa.array(sim)]
+            yield pa.RecordBatch.from_arrays(columns, ["target", "place", "turn_number", "track_id", "sim"])
+
+
 def _relevant(rows: _Rows, a: int, b: int, least: list[float]):
     import numpy as np
     import pyarrow as pa

@@ -137,7 +137,7 @@ def one_listener(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("query", ["relevant_priors"])
+@pytest.mark.parametrize("query", ["relevant_priors", "scored_pairs"])
 def test_sessions_of_a_user_are_not_paired(spark, one_listener, query):
     # 300 sessions have 89,700 earlier pairs.  Joins are those of large tables.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -160,6 +160,20 @@ def test_relevant_before_equals_the_paired_sessions(spark, told, monkeypatch, mo
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+@pytest.mark.parametrize(("most", "least", "k"), [(1 << 15, 0.05, 3), (7, -1.0, 5)])
+def test_scored_before_equals_the_paired_sessions(spark, told, monkeypatch, most, least, k):
+    pairs, targets = told
+    rng = random.Random(7)
+    monkeypatch.setattr(priors, "MOST_HEARD", most)
+    monkeypatch.setattr(priors, "MOST_ASKED", most)
+    vectors = vectors_of(spark, rng, [3, 3, 3, 0, 2, 2])
+    wanted = spark.createDataFrame([(t["target"], f"t{rng.randrange(7)}") for t in targets.collect()], "target string, track_id string")
+    asked = wanted.join(vectors, "track_id").select("target", "vector")
+    want = history.score_pairs(history.before(pairs, targets), asked, vectors, least, k).select("target", "n", "track_id", "sim")
+    got = priors.scored_before(pairs, targets, wanted, vectors, least, k).select("target", "n", "track_id", "sim")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_overlap_words_of_all_scripts(spark):
     hindi = "मेरी पसंद की पुरानी हिंदी गाने वाली सूची दिखाओ ज़रा अभी"
     rows = [("train", hindi), ("devset", hindi.replace("पुरानी", "नयीवाली")), ("train", "play the old_school rock_music list of mine"), ("devset", "play the old school rock music list of mine")]
