@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows heard and asked for of a cell (of that order; tracks are asked for repeatedly), scores held at a time, rows of a batch of results.
-MOST_HEARD, MOST_ASKED, MOST_SCORES, BATCH_ROWS = 1 << 16, 1 << 17, 1 << 22, 1 << 16
+MOST_HEARD, MOST_ASKED, MOST_SCORES, BATCH_ROWS = 1 << 15, 1 << 16, 1 << 20, 1 << 16
 DIGITS = 6
 
 
