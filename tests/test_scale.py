@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recflow.functions import compose
 from recflow.llm import p2_overlap
 from recflow.operators import history, pools, priors, retrieval
-from recflow.plans import more
+from recflow.plans import more, queries
 
 
 def bm25(queries: dict, docs: dict, k: int, seen: dict | None = None) -> dict:
@@ -181,3 +181,38 @@ def test_overlap_words_of_all_scripts(spark):
     df = spark.createDataFrame([(i, s, "x", q, None, None) for i, (s, q) in enumerate(rows)], "pair_id long, split string, source string, query string, session_id string, turn_number int")
     assert {tuple(r) for r in p2_overlap.overlap_pairs(df).collect()} == {(0, 1), (2, 3), (4, 5)}
     assert p2_overlap.plain("Él “sing” naïve_x – Ⅷ\u200b") == "el sing naive x viii"
+
+
+@pytest.fixture(scope="module")
+def pairs_of_200(spark, tmp_path_factory):
+    """Tables of 200 pairs, each of which asks for a word that tracks hold."""
+    at = tmp_path_factory.mktemp("pairs")
+    vectors = [(pools.VECTOR_POOLS["qemb_metadata"], f"t{i}", [1.0, float(i), 0.5]) for i in range(30)]
+    for name, rows, kinds in (
+        ("train_pairs", [(i, f"s{i}", 1, "train" if i % 2 else "devset", f"a song{i % 30} please", "HH" if i % 3 else "LL", f"t{i % 30}", [f"t{i % 7}"] * (i % 4 > 0)) for i in range(1, 201)], "pair_id long, session_id string, turn_number int, split string, query string, specificity string, track_id string, seen array<string>"),
+        ("tracks", [(f"t{i}", [f"Song{i}"], ["Ann"], ["Moon"], "1999-01-01", 5.0, 100, ["rock"]) for i in range(30)], "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, release_date string, popularity double, duration int, tag_list array<string>"),
+        ("track_crawl", [(i, f"t{i}", "2020-01-01", "la la", None, ["rock"], "L", "DE", "1999", 100.0, "C", None) for i in range(30)], "crawl_id long, track_id string, fetched_at string, lyrics string, caption string, mb_tags array<string>, label string, country string, mb_release_date string, tempo double, music_key string, chord string"),
+        ("track_vectors", vectors, "vector_type string, track_id string, vector array<float>"),
+    ):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("query", ["bm25_search"])
+def test_every_pair_is_asked(spark, pairs_of_200, query):
+    got = queries.QUERIES[query](spark, pairs_of_200)
+    assert {r[0] for r in got.select(got.columns[0]).distinct().collect()} == set(range(1, 201))
+
+
+@pytest.mark.parametrize(("first", "left"), [(1, 0.0), (2, 0.25), (8, 0.99)])
+def test_words_left_for_later_lose_no_document(spark, monkeypatch, first, left):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    docs = {f"d{i:03d}": "Title: " + " ".join(rng.choices(vocabulary, range(1, 41), k=rng.randrange(9))) for i in range(400)}
+    asked = {i: "title " * (i % 2) + " ".join(rng.choices(vocabulary, k=rng.randrange(12))) for i in range(40)} | {90: "title", 91: "title"}
+    monkeypatch.setattr(retrieval, "FIRST_ENTRIES", first)
+    monkeypatch.setattr(retrieval, "LEFT", left)
+    monkeypatch.setattr(retrieval, "SLICE_QUERIES", 7)
+    q, d = spark.createDataFrame([*asked.items()], "q long, text string"), spark.createDataFrame([*docs.items()], "d string, doc string")
+    got = {(r["q"], r["rank"]): (r["d"], r["score"]) for r in retrieval.search(q, d, 5, "q", "text", "d", "doc").collect()}
+    assert got == bm25(asked, docs, 5)
