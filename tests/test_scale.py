@@ -198,7 +198,7 @@ def pairs_of_200(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("query", ["bm25_search", "pool_bm25", "pool_bm25_crawl_lyrics", "pool_bm25_simple", "pool_bm25_tags_crawl_kw", "pool_weighted"])
+@pytest.mark.parametrize("query", ["bm25_search", "pool_bm25", "pool_bm25_crawl_lyrics", "pool_bm25_simple", "pool_bm25_tags_crawl_kw", "pool_weighted", "predict_routed"])
 def test_every_pair_is_asked(spark, pairs_of_200, query):
     got = queries.QUERIES[query](spark, pairs_of_200)
     assert {r[0] for r in got.select(got.columns[0]).distinct().collect()} == set(range(1, 201))
