@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recflow.functions import compose
 from recflow.llm import p2_overlap
-from recflow.operators import history, pools, priors, retrieval
+from recflow.operators import history, pools, priors, ranking, retrieval
 from recflow.plans import more, queries
 
 
@@ -198,7 +198,7 @@ def pairs_of_200(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("query", ["bm25_search", "pool_bm25", "pool_bm25_crawl_lyrics", "pool_bm25_simple", "pool_bm25_tags_crawl_kw", "pool_weighted", "predict_routed"])
+@pytest.mark.parametrize("query", ["bm25_search", "pool_bm25", "pool_bm25_crawl_lyrics", "pool_bm25_simple", "pool_bm25_tags_crawl_kw", "pool_weighted", "predict_routed", "pool_bm25_qmr"])
 def test_every_pair_is_asked(spark, pairs_of_200, query):
     got = queries.QUERIES[query](spark, pairs_of_200)
     assert {r[0] for r in got.select(got.columns[0]).distinct().collect()} == set(range(1, 201))
@@ -216,3 +216,25 @@ def test_words_left_for_later_lose_no_document(spark, monkeypatch, first, left):
     q, d = spark.createDataFrame([*asked.items()], "q long, text string"), spark.createDataFrame([*docs.items()], "d string, doc string")
     got = {(r["q"], r["rank"]): (r["d"], r["score"]) for r in retrieval.search(q, d, 5, "q", "text", "d", "doc").collect()}
     assert got == bm25(asked, docs, 5)
+
+
+def test_many_query_vectors_go_in_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    v = spark.createDataFrame([(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(40)], "i long, x array<float>")
+    whole = sorted(map(tuple, ranking.dense_top_k(v, v, 7, "i", "x").collect()))
+    monkeypatch.setattr(ranking, "MOST_QUERY_BYTES", 100)
+    assert sorted(map(tuple, ranking.dense_top_k(v, v, 7, "i", "x").collect())) == whole and len(whole) == 280
+
+
+def test_an_ensemble_leaves_out_pools_that_lack_input_only(spark, monkeypatch):
+    catalog = spark.createDataFrame([("t1", ["Song"], ["Ann"], ["Moon"], "1999")], "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, release_date string")
+    context = pools.Context(spark.createDataFrame([(1, "song", [])], "query_id long, query string, seen array<string>"), catalog)
+    assert pools.ensemble(context, 5, ("bm25_music_only", "qemb_metadata", "bm25_crawl")).count() == 1
+
+    def broken(context, n):
+        raise ValueError("a failure of its own")
+
+    monkeypatch.setitem(pools.POOLS, "broken", broken)
+    for name in ("broken", "no such pool"):
+        with pytest.raises(ValueError):
+            pools.ensemble(context, 5, ("bm25_music_only", name))
